@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, url_filter
+from . import bpe, chat_format, embedding_dedup, language_id, line_dedup, minhash_dedup, nearest, packing, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,95 @@ o AS (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.i) FILTER (WHERE x.l
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, CAST(coalesce(n_lines, 0) AS int) AS n_lines, CAST(coalesce(n_dropped, 0) AS int) AS n_dropped
 FROM documents d LEFT JOIN o USING (doc_id)"""
 
+
+
+def vocabulary(name: str) -> bytes:
+    """A file of the installed public tokenizers: a few MB that go to the workers with the code."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+@query
+def op2_embedding_dedup(spark, sf_dir):
+    """Links, components and kept vectors of all embeddings at cosine 0.98."""
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_nearest(spark, sf_dir):
+    """The ten nearest of every vector whose id is divisible by 100, among all others."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op4_best_fit_packing(spark, sf_dir):
+    """Where every piece of every document lies in sequences of 2048 tokens."""
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json").decode())
+
+
+def as_mail(talk: DataFrame) -> DataFrame:
+    """The conversations as mail: each message quotes the one before it, and that its own predecessor, one level deeper."""
+    key = ["conv_id", "turn"]
+    before = lambda n: talk.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"_t{n}"))
+    quote = lambda c, marks: F.regexp_replace(c, "(?m)^", marks)
+    out = talk.select(*key, "text").join(before(1), key, "left").join(before(2), key, "left")
+    return out.select(*key, F.concat_ws("\n", "text", quote(F.col("_t1"), "> "), quote(F.col("_t2"), "> > ")).alias("text"))
+
+
+@query
+def op5_quotation_linking(spark, sf_dir):
+    """Conversations rebuilt from mail. The table itself holds no quotes, so that its whole content is turned into mail first: turn by
+    turn with two levels of quotes. The operator gets that text alone and finds parents, depth and texts again."""
+    mail = as_mail(table(spark, sf_dir, "conversations"))
+    return chat_format.conversations(chat_format.link_quotes(mail)).withColumn("reply", F.md5(F.trim(F.regexp_replace("reply", "\\s+", " ")))).drop("n_quotes")
+
+
+ORACLES["op5_quotation_linking"] = r"""
+WITH k AS (SELECT conv_id, turn, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS reply, lag(turn) OVER w AS parent_turn, row_number() OVER w - 1 AS depth, min(turn) OVER (PARTITION BY conv_id) AS thread_turn
+    FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, reply, parent_turn, thread_turn, depth FROM k"""
+
+
+@query
+def op6_bpe(spark, sf_dir):
+    """Token counts and digests of the ids and of the decoded text of every document."""
+    digest = bpe.digest_udf(vocabulary("byte_bpe_50k.json").decode())
+    out = table(spark, sf_dir, "documents").select("doc_id", digest("text").alias("d"))
+    return out.select("doc_id", F.col("d.n").alias("n_tokens"), F.col("d.ids").alias("ids_sha256"), F.col("d.decoded").alias("decoded_sha256"))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    """The language of every document, learned from those whose crc32(doc_id) mod 3 is not 1."""
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)))
+    model = language_id.fit(docs.filter(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op8_minhash_dedup(spark, sf_dir):
+    """The near-duplicate class of every document, and whether it is the one that stays."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_counts(spark, sf_dir):
+    """Tokens of every document, counted in flat files of 16-bit ids that end documents with the id 50256."""
+    import public_tokenizers
+
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
+@query
+def pipeline(spark, sf_dir):
+    """The stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: The rules that pages are judged by.
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
 
