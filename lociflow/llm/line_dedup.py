@@ -22,7 +22,8 @@ _MASK = "(?<!\\S)[^\\s0-9]*+[0-9]\\S*"
 
 
 def squeeze(line: Column) -> Column:
-    return F.trim(F.when(line.rlike("[\t\r]|  "), F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
+    odd = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
@@ -34,12 +35,17 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return rows.select("_id", "masked", F.xxhash64("line").alias("raw"), F.xxhash64("masked").alias("own"), F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"))
 
 
-def _templates(docs: DataFrame, pairs: DataFrame, min_docs: int, similarity: float, depth: int) -> DataFrame:
-    """(leaf, own) to the generalised template of lines that have one."""
-    leaves = pairs.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("_id").alias("c"), F.max("_id").alias("d"))
-    mixed, _ = written(leaves.filter("a <> b and c <> d").select("leaf"), "leaves")
-    lines = bloom.may_have(_lines(docs, depth), mixed, "leaf").groupBy("leaf", "own").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("n_docs"))
-    lines = lines.join(mixed, "leaf", "left_semi")
+def _templates(docs: DataFrame, pairs: DataFrame, mixed: DataFrame, min_docs: int, similarity: float, depth: int) -> DataFrame:
+    """(leaf, own) to the generalised template of lines that have one; `pairs` are those of mixed leaves.
+
+    The text of each different line is read again from one document that has it, so only such documents are parsed again.
+    """
+    reps = pairs.groupBy("leaf", "own").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("n_docs"))
+    reps, _ = written(reps, "reps")
+    again = bloom.may_have(docs, reps.select("_id").distinct(), "_id")
+    texts = bloom.may_have(_lines(again, depth).select("_id", "leaf", "own", "masked"), mixed, "leaf")
+    lines = texts.join(reps, ["leaf", "own", "_id"]).select("leaf", "own", "n_docs", "masked").dropDuplicates(["leaf", "own"])
+    lines, _ = written(lines, "templates")
     tokens = lines.select("leaf", "own", "n_docs", F.posexplode(F.split("masked", " ")).alias("pos", "token")).withColumn("token", F.xxhash64("token"))
     support = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support"))
     constant = (F.col("pos") < depth) | (F.col("support") >= min_docs)
@@ -53,12 +59,22 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document that loses lines: _id and `_drop`, the hashes of its squeezed lines to drop."""
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     pairs, _ = written(_lines(src, depth).select("_id", "raw", "own", "leaf"), "lines")
-    templates = _templates(src, pairs, min_docs, similarity, depth)
-    keyed = pairs.join(templates, ["leaf", "own"], "left").select("_id", "raw", "leaf", F.coalesce("template", "own").alias("template"))
+    leaves = pairs.groupBy("leaf").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.min("_id").alias("c"), F.max("_id").alias("d"))
+    mixed, _ = written(leaves.filter("a <> b and c <> d").select("leaf"), "leaves")
+    inside = bloom.may_have(pairs, mixed, "leaf").join(mixed, "leaf", "left_semi")
+    templates, _ = written(_templates(src, inside, mixed, min_docs, similarity, depth), "generalised")
+    some = bloom.may_have(pairs, templates.select("own").distinct(), "own").join(templates, ["leaf", "own"]).select("_id", "raw", "leaf", "template")
+    keyed = pairs.select("_id", "raw", "leaf", F.col("own").alias("template"))
     docs_of = [F.countDistinct("_id").alias("n")] if min_docs > 2 else []
-    stats = keyed.groupBy("leaf", "template").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), *docs_of)
-    stats = stats.filter(f"n >= {min_docs}" if min_docs > 2 else "first <> last" if min_docs == 2 else "true").select("leaf", "template", "first")
-    return keyed.join(stats, ["leaf", "template"]).filter("_id <> first").groupBy("_id").agg(F.collect_set("raw").alias("_drop"))
+    found = f"n >= {min_docs}" if min_docs > 2 else "first <> last" if min_docs == 2 else "true"
+
+    def recurring(rows: DataFrame) -> DataFrame:
+        """(_id, raw) of the lines of `rows` that another document has first."""
+        stats = rows.groupBy("leaf", "template").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), *docs_of)
+        stats, _ = written(stats.filter(found).select("leaf", "template", "first"), "recurring")
+        return bloom.may_have(rows, stats.select("template").distinct(), "template").join(stats, ["leaf", "template"]).filter("_id <> first").select("_id", "raw")
+
+    return recurring(keyed).unionByName(recurring(some)).groupBy("_id").agg(F.collect_set("raw").alias("_drop"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
