@@ -14,6 +14,7 @@ their length from ranks in hashed parts of it and the parts' counts, so a length
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import defaultdict
 
@@ -30,6 +31,10 @@ PART = 200_000
 KEPT = 500_000
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, word by word through the tokenizers library.
 
@@ -49,10 +54,9 @@ class Encoder:
         self.model = self.tokenizer.model
         self.letter = {b: c for c, b in byte_letters().items()}
         self.known: dict[str, bytes] = {}
-        self.split_odd = frozenset("\x1c\x1d\x1e\x1f")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
         import unicodedata
@@ -69,7 +73,7 @@ class Encoder:
             if not core.isalpha():
                 return self._whole(word)
             core = "".join(map(self.letter.__getitem__, core.encode()))
-        return np.array([t.id for t in self.model.tokenize(core)], dtype="<u4").tobytes()
+        return _bytes([t.id for t in self.model.tokenize(core)])
 
     def _get(self, word: str) -> bytes:
         x = self.known.get(word)
@@ -82,7 +86,7 @@ class Encoder:
         return x
 
     def encode(self, text: str) -> bytes:
-        if not self.split_odd.isdisjoint(text):
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             return self._whole(text)
         known, get = self.known.get, self._get
         return b"".join([known(w) or get(w) for w in text.split()])
