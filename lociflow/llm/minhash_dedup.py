@@ -23,13 +23,23 @@ from . import bloom
 from .components import connected_components
 from .shared import delete, written
 
-K, SIMILARITY, BANDS, ORDER, ROUNDS = 5, 0.8, 24, 5, 3
+K, SIMILARITY, BANDS, ORDER, ROUNDS = 5, 0.8, 16, 4, 3
 _WORD = re.compile(r"\w+").findall
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(29).integers(1, 1 << 63, BANDS, dtype=np.uint64)
 #: Most entries of a worker's memory of word hashes; numbers held at once by a sketch.
 KEPT, AT_ONCE = 500_000, 4_000_000
-_HASHES: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        x = self[word] = xxhash.xxh3_64_intdigest(word)
+        return x
+
+
+_HASHES = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -39,15 +49,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(words: list[str]) -> np.ndarray:
-    import xxhash
-
-    known = _HASHES
-    if len(known) > KEPT:
-        known.clear()
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    if len(_HASHES) > KEPT:
+        _HASHES.clear()
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(text: str, k: int = K) -> np.ndarray:
@@ -59,7 +63,8 @@ def shingles(text: str, k: int = K) -> np.ndarray:
     k = min(k, len(words))
     out = np.zeros(len(words) - k + 1, dtype=np.uint64)
     for i in range(k):
-        out = _mix(out * _ODD + h[i : i + len(out)])
+        out = out * _ODD + h[i : i + len(out)]
+    out = _mix(out)
     order = np.argsort(out, kind="stable")
     s = out[order]
     new = np.concatenate([[True], s[1:] != s[:-1]])
