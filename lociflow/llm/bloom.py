@@ -20,18 +20,19 @@ class Bloom:
     bits: int
     hashes: int
     data: bytes
+    seed: int = 0
 
     def has(self, key: Column) -> Column:
         """False for no key that was put in; null keys are not in."""
         bits = F.unhex(F.lit(self.data.hex()))
         out = F.lit(True)
-        for pos in positions(key, self.bits, self.hashes):
+        for pos in positions(key, self.bits, self.hashes, self.seed):
             out = out & _bit(bits, pos)
         return key.isNotNull() & out
 
 
-def positions(key: Column, bits: int, hashes: int) -> list[Column]:
-    a, b = F.pmod(F.xxhash64(key), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(bits))
+def positions(key: Column, bits: int, hashes: int, seed: int = 0) -> list[Column]:
+    a, b = F.pmod(F.xxhash64(key, F.lit(2 * seed)), F.lit(bits)), F.pmod(F.xxhash64(key, F.lit(2 * seed + 1)), F.lit(bits))
     return [F.pmod(a + b * i, F.lit(bits)) if i else a for i in range(hashes)]
 
 
@@ -41,16 +42,16 @@ def sized(keys: float, rate: float) -> tuple[int, int]:
     return max(64, math.ceil(per_key * max(keys, 1))), max(1, round(per_key * 0.6931))
 
 
-def build(keys: DataFrame, column: str, bits: int, hashes: int) -> Bloom:
+def build(keys: DataFrame, column: str, bits: int, hashes: int, seed: int = 0) -> Bloom:
     """The filter of all non-null keys, gathered as bitmaps that are merged before the shuffle."""
     k = F.col(column)
-    pos = keys.filter(k.isNotNull()).select(F.explode(F.array(*positions(k, bits, hashes))).alias("p"))
+    pos = keys.filter(k.isNotNull()).select(F.explode(F.array(*positions(k, bits, hashes, seed))).alias("p"))
     maps = pos.groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bitmap"))
     data = bytearray(math.ceil(bits / BUCKET) * BUCKET // 8)
     for r in maps.collect():  # one row of 4 KB per bucket of the chosen size
         at = (r["bucket"] - 1) * BUCKET // 8
         data[at : at + BUCKET // 8] = r["bitmap"]
-    return Bloom(bits, hashes, bytes(data[: math.ceil(bits / 8)]))
+    return Bloom(bits, hashes, bytes(data[: math.ceil(bits / 8)]), seed)
 
 
 def may_have(df: DataFrame, keys: DataFrame, column: str, buckets: int = 256, hashes: int = 4) -> DataFrame:

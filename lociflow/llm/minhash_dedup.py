@@ -141,8 +141,8 @@ def _sketch_series(texts: pd.Series) -> pd.DataFrame:
             rows.append((a, b, 0, np.empty(0, dtype=np.int64)))
         else:
             rows.append((None, None, 0, np.empty(0, dtype=np.int64)))
-    out = pd.DataFrame(rows, columns=["a", "b", "n", "bands"])
-    return out.astype({"a": "Int64", "b": "Int64"})
+    a, b, n, bands = zip(*rows) if rows else ((), (), (), ())
+    return pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64"), "n": n, "bands": pd.Series(bands, dtype=object)})
 
 
 def _alike_series(x: pd.Series, y: pd.Series) -> pd.Series:
