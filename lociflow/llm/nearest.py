@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .embedding_dedup import usable
 from .shared import written
 
-PROJECTIONS, COLLISIONS, RATIO, WIDTH, EXTRA, SEED = 48, 31, 1.4, 2.7, 200, 17
+PROJECTIONS, COLLISIONS, RATIO, WIDTH, EXTRA, SEED = 48, 31, 1.4, 2.7, 1000, 17
 #: Vectors of a shard and queries of a block, about.
 SHARD, BLOCK = 4096, 512
 
