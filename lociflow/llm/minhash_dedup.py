@@ -6,8 +6,10 @@ order. Texts of equal words are one class first. Candidates are verified by a ba
 common subsequence inside the band that the threshold leaves, L, and similarity L / (n1 + n2 - L).
 
 A bucket of a band never becomes all its pairs. Each member is verified with one representative of the bucket; in further rounds, with
-other representatives, only members that are not yet in the component of the bucket's first; and what is left after ROUNDS rounds with
-every other member outside its component: no link that joins two components in a bucket is lost.
+other representatives, only members that are not yet in the component of the bucket's first. What is left after ROUNDS rounds meets
+every member outside its component, so that no link that joins two components in a bucket is lost: pair by pair in buckets of at most
+SMALL members, and in larger ones in tiles of bounded size. A tile counts the shingles that its texts have in common by products of
+incidence matrices, aligns only pairs that have enough of them, and gives links between components, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,11 @@ from . import bloom
 from .components import connected_components
 from .shared import delete, written
 
-K, SIMILARITY, BANDS, ORDER, ROUNDS = 5, 0.8, 16, 4, 3
+K, SIMILARITY, BANDS, ORDER, ROUNDS = 5, 0.8, 16, 4, 1
+#: Members of a bucket that is taken pair by pair; left-over and other texts of a tile, and shingles of either side, about.
+SMALL, HOMES, OTHERS, TILE = 16, 512, 2048, 500_000
+#: Shingles of so few texts of a tile are counted pair by pair; columns of a matrix of the others.
+RARE, COLUMNS = 8, 4096
 _WORD = re.compile(r"\w+").findall
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(29).integers(1, 1 << 63, BANDS, dtype=np.uint64)
@@ -170,6 +176,80 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter(_alike("_t", "_tb")).select("a", "b")
 
 
+def common(texts: list[np.ndarray], home: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Numbers of labelled shingles that the texts at `home` have in common with those at `other`; a text with itself: any number."""
+    doc = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    _, x, n = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+    order = np.argsort(x, kind="stable")
+    order = order[n[x[order]] > 1]
+    x, doc = x[order], doc[order]
+    rare = n[x] <= RARE
+    at_home, at_other = np.full(len(texts), -1), np.full(len(texts), -1)
+    at_home[home], at_other[other] = np.arange(len(home)), np.arange(len(other))
+    out = np.zeros(len(home) * len(other), dtype=np.float32)
+    for step in range(1, RARE):
+        same = x[rare][step:] == x[rare][:-step]
+        one, two = doc[rare][:-step][same], doc[rare][step:][same]
+        for a, b in ((at_home[one], at_other[two]), (at_home[two], at_other[one])):
+            ok = (a >= 0) & (b >= 0)
+            out += np.bincount(a[ok] * len(other) + b[ok], minlength=len(out)).astype(np.float32)
+    out = out.reshape(len(home), len(other))
+    x, doc = np.unique(x[~rare], return_inverse=True)[1], doc[~rare]
+    for start in range(0, int(x[-1]) + 1 if len(x) else 0, COLUMNS):
+        part = slice(*np.searchsorted(x, [start, start + COLUMNS]))
+        m = np.zeros((len(texts), COLUMNS), dtype=np.float32)
+        m[doc[part], x[part] - start] = 1
+        out += m[home] @ m[other].T
+    return out
+
+
+def tile_links(texts: list[np.ndarray], components: np.ndarray, home: np.ndarray, other: np.ndarray, least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that join components, as positions; a link inside what is joined already is not looked for."""
+    n = np.array([len(x) for x in texts])
+    need = least * (n[home][:, None] + n[other][None, :]) / (1 + least)
+    hits = common(texts, home, other) >= need - 1e-6
+    names, c = np.unique(components, return_inverse=True)
+    up = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(hits & (c[home][:, None] != c[other][None, :]))):
+        a, b = home[i], other[j]
+        p, q = root(c[a]), root(c[b])
+        if p != q and similarity(texts[a], texts[b], least):
+            up[max(p, q)] = min(p, q)
+            out.append((int(a), int(b)))
+    return out
+
+
+def _tiled(named: DataFrame, sizes: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) of what is left in buckets of more than SMALL members."""
+    bucket = ["band", "key"]
+    tiles = lambda count, most: F.greatest(F.ceil(F.col(count) / most), F.ceil(F.col(f"{count}n") / TILE)).cast("int")
+    dealt = named.join(sizes.filter(f"_m > {SMALL}").select(*bucket, tiles("_l", HOMES).alias("_ni"), tiles("_m", OTHERS).alias("_nj")), bucket)
+    i, j = F.pmod(F.xxhash64("cid"), F.col("_ni")).cast("int"), F.pmod(F.xxhash64("cid", F.lit(3)), F.col("_nj")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    homes = dealt.filter("comp <> first").select(*bucket, i.alias("i"), every("_nj").alias("j"), "cid", "comp", F.lit(True).alias("home"))
+    others = dealt.select(*bucket, every("_ni").alias("i"), j.alias("j"), "cid", "comp", F.lit(False).alias("home"))
+
+    def tile(pdf):
+        whole = pdf.groupby("cid", sort=True).agg({"comp": "first", "text": "first"})
+        at = {c: i for i, c in enumerate(whole.index)}
+        side = lambda home: np.array([at[c] for c in pdf["cid"][pdf["home"] == home]], dtype=np.int64)
+        home, other = side(True), side(False)
+        found = tile_links([shingles(t) for t in whole["text"]], whole["comp"].to_numpy(), home, other, least) if len(home) and len(other) else []
+        ids = whole.index.to_numpy()
+        return pd.DataFrame({"a": ids[[a for a, _ in found]], "b": ids[[b for _, b in found]]})
+
+    kind = named.schema["cid"].dataType.simpleString()
+    return homes.unionByName(others).join(texts, "cid").groupBy(*bucket, "i", "j").applyInPandas(tile, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row per row of `docs`: doc_id, class_id (the smallest id of its class), kept (doc_id = class_id).
 
@@ -212,16 +292,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             other = named.groupBy("band", "key", kind).agg(F.min(F.struct(F.xxhash64("cid", F.lit(round_)), "cid", "n", "comp")).alias("_o"))
             other = other.select("band", "key", F.col("_o.cid").alias("_cid"), F.col("_o.n").alias("_n"), F.col("_o.comp").alias("_comp"))
         else:
-            other = named.select("band", "key", F.col("cid").alias("_cid"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
+            gone = lambda c: F.sum(F.when(F.col("comp") != F.col("first"), c).otherwise(0))
+            sizes = named.groupBy("band", "key").agg(F.count(F.lit(1)).alias("_m"), F.sum("n").alias("_mn"), gone(F.lit(1)).alias("_l"), gone(F.col("n")).alias("_ln")).filter("_l > 0 and _m > 2")
+            sizes, p = written(sizes, "sizes")
+            tiled, p1 = written(_tiled(named, sizes, texts, least), "links")
+            paths += [p, p1]
+            good = good.unionByName(tiled)
+            small = sizes.filter(F.col("_m") <= SMALL).select("band", "key")
+            other = named.join(small, ["band", "key"]).select("band", "key", F.col("cid").alias("_cid"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
         pairs = x.join(other, ["band", "key"]).filter((F.col("comp") != F.col("_comp")) & near(F.col("n"), F.col("_n")))
         pairs = pairs.select(F.least("cid", "_cid").alias("a"), F.greatest("cid", "_cid").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs, p1 = written(pairs, "pairs")
         more, p2 = written(_verified(pairs, texts), "links")
         paths += [p1, p2]
         done = done.unionByName(pairs)
-        if not more.isEmpty():
-            good = good.unionByName(more)
-            comp = connected_components(good)
+        good = good.unionByName(more)
+        comp = connected_components(good)
     named = classes.join(comp, F.col("cid") == F.col("node"), "left").select("a", "b", F.coalesce("component", "cid").alias("class_id"))
     linked = sk.filter("a is not null").select("doc_id", "a", "b").join(named, ["a", "b"]).select("doc_id", "class_id")
     alone = sk.filter("a is null").select("doc_id", F.col("doc_id").alias("class_id")).unionByName(src.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))

@@ -260,3 +260,50 @@ def test_token_counts(spark, docs, none, tmp_path):
     for block in (1, 2, 3, 7, 100):
         rows = [(r["ordinal"], r["n_tokens"], r["ended"]) for r in token_counts.count_tokens(spark, f"file://{tmp_path}", 0, block_tokens=block).orderBy("ordinal").collect()]
         assert rows == [(0, 3, True), (1, 0, True), (2, 9, True), (3, 1, False)], block
+
+
+def test_common_shingles_of_a_tile():
+    import numpy as np
+
+    from lociflow.llm import minhash_dedup as m
+
+    rng = np.random.default_rng(5)
+    texts = [np.unique(rng.integers(0, 60, 25)).astype(np.uint64) for _ in range(20)] + [np.array([1000], dtype=np.uint64), np.array([1000, 1001], dtype=np.uint64)]
+    home, other = np.array([0, 3, 20, 5]), np.arange(1, 22)
+    got = m.common(texts, home, other)
+    for i, a in enumerate(home):
+        for j, b in enumerate(other):
+            if a != b:
+                assert got[i, j] == len(set(texts[a].tolist()) & set(texts[b].tolist()))
+
+
+def test_near_duplicates_tiles_a_large_bucket(spark, monkeypatch):
+    """Near copies of different distances and texts around one passage, in tiles of a few texts, against brute force."""
+    import random
+
+    from lociflow.llm import minhash_dedup as m
+
+    monkeypatch.setattr(m, "SMALL", 3)
+    monkeypatch.setattr(m, "HOMES", 7)
+    monkeypatch.setattr(m, "OTHERS", 11)
+    r = random.Random(3)
+    word = lambda: "w" + str(r.randrange(10**6))
+    base, passage = [word() for _ in range(140)], [word() for _ in range(160)]
+    texts = []
+    for _ in range(45):
+        t = list(base)
+        for at in r.sample(range(140), r.choice([3, 4, 5, 6])):
+            t[at] = word()
+        texts.append(" ".join(t))
+    for _ in range(30):
+        texts.append(" ".join(passage + [word() for _ in range(r.choice([30, 45, 60]))]))
+    x = [m.shingles(t) for t in texts]
+    label = list(range(len(x)))
+    for a in range(len(x)):
+        for b in range(a):
+            if m.similarity(x[a], x[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if c == high else c for c in label]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {row["doc_id"]: row["class_id"] for row in m.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(label))
