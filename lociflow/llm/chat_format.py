@@ -14,7 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import delete, written
+from .shared import written
 
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]*)+)")
 _SPACE = re.compile(r"\s+")
@@ -77,24 +77,24 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     conversation that holds a third of all rows is no group of one task: joins are on the conversation and the passage or the turn.
     Other columns, whatever their names, are left out; an empty table gives an empty result.
     """
-    spark = messages.sparkSession
     src = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), _parse(text).alias("p"))
-    parsed, p0 = written(src.select("conv_id", "turn", "p.own", "p.keys", "p.quotes"), "messages")
+    parsed, _ = written(src.select("conv_id", "turn", "p.own", "p.keys", "p.quotes"), "messages")
     originals = parsed.select("conv_id", F.col("turn").alias("_from"), F.explode("keys").alias("key")).distinct()
     quoted = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.pos", "q.key").distinct()
     hits = quoted.join(originals, ["conv_id", "key"]).filter("_from < turn").groupBy("conv_id", "turn", "level", "pos").agg(F.max("_from").alias("_from"))
     best = hits.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "pos", "_from")).alias("_b")).select("conv_id", "turn", F.col("_b._from").alias("parent_turn"))
     nodes = parsed.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct().join(best, ["conv_id", "turn"], "left")
-    at = nodes.select("conv_id", "turn", "parent_turn", F.coalesce("parent_turn", "turn").alias("up"), F.col("parent_turn").isNotNull().cast("long").alias("depth"))
-    state, path = written(at, "threads")
-    while True:  # paths halve each round
-        above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        new, after = written(state.join(above, ["conv_id", "up"]).select("conv_id", "turn", "parent_turn", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") > 0).alias("moved")), "threads")
-        done = new.filter("moved").isEmpty()
-        delete(spark, path)
-        state, path = new.drop("moved"), after
-        if done:
-            break
+    root = F.col("parent_turn").isNull()
+    at = nodes.select("conv_id", "turn", "parent_turn", F.coalesce("parent_turn", "turn").alias("up"), F.when(root, 0).otherwise(1).cast("bigint").alias("depth"), root.alias("done"))
+    new, _ = written(at, "threads")
+    ended = new.filter("done")
+    while not new.filter("not done").isEmpty():  # paths halve each round; rows that reached the thread's first turn leave
+        active = new.filter("not done")
+        above = ended.unionByName(active).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
+        step = active.drop("done").join(above, ["conv_id", "up"])
+        new, _ = written(step.select("conv_id", "turn", "parent_turn", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_done").alias("done")), "threads")
+        ended = ended.unionByName(new.filter("done"))
+    state = ended
     out = parsed.select("conv_id", "turn", F.col("own").alias("reply"), F.size("quotes").alias("n_quotes")).join(state.select("conv_id", "turn", "parent_turn", F.col("up").alias("thread_turn"), "depth"), ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "reply", "n_quotes", "parent_turn", F.coalesce("thread_turn", "turn").alias("thread_turn"), F.coalesce("depth", F.lit(0)).cast("bigint").alias("depth"))
 
