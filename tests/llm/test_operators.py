@@ -204,6 +204,18 @@ def test_language_id(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_id_of_short_texts(spark):
+    """Blocks of so few bytes are stored raw: all languages had one size, the larger language's name, and a rejection."""
+    rng = np.random.default_rng(6)
+    kinds = {"aa": ["kalo", "miru", "tasen", "volka"], "bb": ["xyqu", "zzorp", "wexim", "jukk"]}
+    rows = [(" ".join(rng.choice(kinds[k], 40)), k) for k in ["aa"] * 60 + ["bb"] * 40]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    short = [(" ".join(kinds[k][i : i + n]), k) for k in kinds for n in (2, 3) for i in range(2)]
+    got = language_id.identify(spark.createDataFrame([*short, ("\u65e5\u672c", "aa")], "text string, lang string"), model).collect()
+    assert [r["text"] for r in got[:-1] if r["lang_pred"] != r["lang"] or r["score"] == 0] == []
+    assert not any(r["rejected"] for r in got) and got[-1]["score"] == 0, "no size tells the last from any language"
+
+
 def test_minhash_dedup(spark, docs, none):
     got = defaultdict(set)
     for r in minhash_dedup.near_duplicates(docs).collect():
