@@ -437,9 +437,9 @@ def q_shared_groups_log(cat):
 
 
 def _clusters(cat):
-    best = L.all_traits(cat).orderBy(F.desc("num_coloc_groups"), "id").limit(200).select(F.col("id").alias("_t"))
-    rows = cat.coloc_groups.join(F.broadcast(best), F.col("trait_id") == F.col("_t"), "left_semi")  # 200 rows
-    return cluster.trait_clusters(cat.spark, A.shared_groups(rows), 10)
+    """All traits that dedupe_traits leaves, by the groups that they share."""
+    keep = A.dedupe_traits(_proportion(cat)).select("trait_id")
+    return cluster.trait_clusters(cat.spark, A.shared_groups(cat.coloc_groups.join(keep, "trait_id", "left_semi")), 10)
 
 
 @query()
