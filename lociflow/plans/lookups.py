@@ -180,9 +180,9 @@ def ld_proxies(cat: Catalog, ids: Sequence[int | str]) -> DataFrame:
     return cat.ld.join(v, F.col("lead_variant_id") == F.col("_v"), "left_semi")
 
 
-def ld_matrix(cat: Catalog, ids: Sequence[int | str]) -> DataFrame:
-    """LD rows between the variants, long form."""
-    v = resolve_variants(cat, _ids(ids, 50, "ld_matrix")).select(F.col("id").alias("_v"))
+def ld_matrix(cat: Catalog, ids: Sequence[int | str] | DataFrame) -> DataFrame:
+    """LD rows between the variants, long form; any number of them, as a frame with the column `id` or as a list."""
+    v = (ids if isinstance(ids, DataFrame) else resolve_variants(cat, _ids(ids, float("inf"), "ld_matrix"))).select(F.col("id").alias("_v"))
     w = v.withColumnRenamed("_v", "_w")
     return cat.ld.join(v, F.col("lead_variant_id") == F.col("_v"), "left_semi").join(w, F.col("proxy_variant_id") == F.col("_w"), "left_semi")
 

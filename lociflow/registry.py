@@ -71,12 +71,24 @@ def q_health(cat):
     return cat.health()
 
 
-@query()
-def q_decode_rows(cat):
-    packed = cat.coloc_pairs.filter("h4 >= 0.95").groupBy("ld_block_id").agg(F.to_json(F.struct(F.array(F.lit("study_extraction_a_id"), F.lit("study_extraction_b_id"), F.lit("h4")).alias("coloc_pair_column_names"), F.collect_list(F.array(F.col("study_extraction_a_id").cast("string"), F.col("study_extraction_b_id").cast("string"), F.col("h4").cast("string"))).alias("coloc_pair_rows"))).alias("j"))
+def _decoded(cat: Catalog) -> DataFrame:
+    """All pairs, packed as columnar JSON of at most 1,000 rows and decoded again."""
     from .schemas import SCHEMAS
 
-    return formats.decode_rows(packed, "j", "coloc_pair", SCHEMAS["coloc_pairs"]).select("study_extraction_a_id", "study_extraction_b_id", "h4")
+    names = ["study_extraction_a_id", "study_extraction_b_id", "h4"]
+    rows = cat.coloc_pairs.select(*names, F.floor(F.monotonically_increasing_id() / 1000).alias("pack"))
+    packed = rows.groupBy("pack").agg(F.to_json(F.struct(F.array(*map(F.lit, names)).alias("coloc_pair_column_names"), F.collect_list(F.array(*(F.col(n).cast("string") for n in names))).alias("coloc_pair_rows"))).alias("j"))
+    return formats.decode_rows(packed, "j", "coloc_pair", SCHEMAS["coloc_pairs"]).select(names)
+
+
+@query("SELECT study_extraction_a_id, study_extraction_b_id, h4 FROM b_coloc_pairs")
+def q_decode_rows_all(cat):
+    return _decoded(cat)
+
+
+@query()
+def q_decode_rows(cat):
+    return _decoded(cat).filter("h4 >= 0.95")
 
 
 ORACLES["decode_rows"] = bed.oracle("SELECT study_extraction_a_id, study_extraction_b_id, h4 FROM b_coloc_pairs WHERE h4 >= 0.95e0")
@@ -163,8 +175,12 @@ def q_ld_proxies(cat):
 
 @query("SELECT a.* FROM b_ld a WHERE lead_variant_id IN (SELECT id FROM b_variants WHERE ld_block_id = 4 AND id <= 50) AND proxy_variant_id IN (SELECT id FROM b_variants WHERE ld_block_id = 4 AND id <= 50)")
 def q_ld_matrix(cat):
-    ids = [r[0] for r in cat.variants.filter("ld_block_id = 4 AND id <= 50").select("id").collect()]
-    return L.ld_matrix(cat, ids)
+    return L.ld_matrix(cat, cat.variants.filter("ld_block_id = 4 AND id <= 50").select("id"))
+
+
+@query(f"SELECT a.* FROM b_ld a WHERE lead_variant_id IN (SELECT id FROM b_variants WHERE ld_block_id = {BLOCK}) AND proxy_variant_id IN (SELECT id FROM b_variants WHERE ld_block_id = {BLOCK})")
+def q_ld_matrix_block(cat):
+    return L.ld_matrix(cat, cat.variants.filter(F.col("ld_block_id") == BLOCK).select("id"))
 
 
 @query("SELECT variant_id, study_id, beta, se, p, eaf, imputed FROM b_associations WHERE variant_id IN (7, 8, 10, 11) AND study_id IN (1, 2, 3)")

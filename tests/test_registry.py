@@ -3,6 +3,8 @@
 from conftest import DATA
 
 from lociflow import registry
+from lociflow.catalog import Catalog
+from lociflow.plans import lookups
 
 SF = f"{DATA}/sf0.001"
 
@@ -12,3 +14,17 @@ def test_clusters_hold_all_deduped_traits(spark):
     got = registry.QUERIES["trait_clusters"](spark, SF).collect()
     assert sorted(r["trait_id"] for r in got) == want and {r["cluster_id"] for r in got} == set(range(1, 11))
     assert sum(r["n_traits"] for r in registry.QUERIES["cluster_summary"](spark, SF).collect()) == len(want)
+
+
+def test_all_pairs_are_decoded(spark):
+    cat = Catalog.from_bed(spark, SF)
+    got = registry.QUERIES["decode_rows_all"](spark, SF)
+    assert got.count() == cat.coloc_pairs.count() > registry.QUERIES["decode_rows"](spark, SF).count()
+
+
+def test_ld_matrix_of_more_than_fifty(spark):
+    cat = Catalog.from_bed(spark, f"{DATA}/sf0.01")
+    ids = cat.variants.filter("ld_block_id = 4").select("id")
+    some = [r["id"] for r in ids.collect()]
+    assert len(some) > 50
+    assert lookups.ld_matrix(cat, some).count() == lookups.ld_matrix(cat, ids).count() == registry.QUERIES["ld_matrix_block"](spark, f"{DATA}/sf0.01").count() > 0
