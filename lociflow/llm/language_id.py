@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Bound of the sample that a dictionary is made from: rows a language, characters a row, bytes of the dictionary.
+#: Bound of the sample that a dictionary is made from: different texts a language, characters a row, bytes of the dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 65_536
 LEVEL, BLOCK = 5, 4096
 #: Of the second measure: level, bytes of a piece at least, pieces of a text up to PIECES * BLOCK bytes at most, and the carrier, of no letters.
@@ -42,7 +42,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_l"), F.col(text).alias("_t"))
     counts = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
     short = rows.filter(F.length("_t").between(1, SAMPLE_CHARS)).withColumn("_h", F.xxhash64("_t"))
-    first = short.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_t"))).filter(F.col("_n") <= SAMPLE_ROWS)
+    hashes = short.select("_l", "_h").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h"))).filter(F.col("_n") <= SAMPLE_ROWS).drop("_n")
+    unlike = short.join(F.broadcast(hashes), ["_l", "_h"], "left_semi").dropDuplicates(["_l", "_h", "_t"])  # SAMPLE_ROWS hashes a language
+    first = unlike.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_t"))).filter(F.col("_n") <= SAMPLE_ROWS)
     texts: dict[str, dict[str, None]] = {k: {} for k in counts}
     for r in first.select("_l", letters(F.col("_t")).alias("_t"), "_n").orderBy("_l", "_n").collect():
         texts[r["_l"]][r["_t"]] = None

@@ -216,6 +216,15 @@ def test_language_id_of_short_texts(spark):
     assert not any(r["rejected"] for r in got) and got[-1]["score"] == 0, "no size tells the last from any language"
 
 
+def test_language_id_sample_of_many_copies(spark, monkeypatch):
+    """Copies of one text, first by hash, do not fill the sample."""
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 3)
+    df = spark.createDataFrame([(w,) for w in WORDS[:6]], "text string").orderBy(F.xxhash64("text"))
+    texts = [r["text"] for r in df.collect()]
+    model = language_id.fit(spark.createDataFrame([(t, "aa") for t in [texts[0]] * 20 + texts], "text string, lang string"))
+    assert model.dictionaries == (("aa", "\n".join(texts[:3]).encode()),)
+
+
 def test_minhash_dedup(spark, docs, none):
     got = defaultdict(set)
     for r in minhash_dedup.near_duplicates(docs).collect():
