@@ -61,19 +61,13 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         import unicodedata
 
-        if word.isascii():
-            word = word.lower()
         core = word.rstrip(".,")
-        if not core.isalpha():
+        plain = core.lower() if core.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", core)))
+        if not plain.isalpha():  # also where lower case ends in a mark, which the vocabulary joins with what follows
             return self._whole(word)
         if len(core) < len(word):
             return self._get(core) + self._get(word[len(core) :])
-        if not core.isascii():
-            core = "".join(map(str.lower, unicodedata.normalize("NFC", core)))
-            if not core.isalpha():
-                return self._whole(word)
-            core = "".join(map(self.letter.__getitem__, core.encode()))
-        return _bytes([t.id for t in self.model.tokenize(core)])
+        return _bytes([t.id for t in self.model.tokenize(plain if plain.isascii() else "".join(map(self.letter.__getitem__, plain.encode())))])
 
     def _get(self, word: str) -> bytes:
         x = self.known.get(word)
