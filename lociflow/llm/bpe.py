@@ -7,8 +7,11 @@ are thus copies of copies less one arc each, and are kept like that: `cuts[a]` h
 a led to have lost, and what a token's first state had lost by then comes from its right part. An arc c that was added with the arc a
 is there if a was there at the time. So the table is small, and every arc of it is found in a few look-ups; found arcs are kept.
 
-A word is encoded by running over its bytes: each place is reached by exactly one correct sequence, whose last token is the state, and
-the trie of tokens gives the arcs to try. Decoding emits the labels of the arcs.
+For words the automaton is spelt out in bytes and made deterministic. Each place of a word is reached by exactly one path, so that a
+state is: the tokens that paths to this place and to those before it end with, and for each of these the node that the bytes since lead
+to in the trie of tokens, while longer tokens begin so. Its transitions are a row of a table, entered when first asked for; the table
+is emptied when it is full. A word is encoded by one look-up for each byte, which gives the last token of the path to that place, and by
+going back over those tokens from its end. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from __future__ import annotations
 import gc
 import json
 import re
+from array import array
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 INF = 1 << 60
-#: Most entries of the memory of arcs, words and pieces; it is emptied when full.
-KEPT = 300_000
+#: Most entries of the memory of arcs, words and pieces, letters of a word in it, and states of the table (1 KB each).
+KEPT, LETTERS, STATES = 300_000, 64, 200_000
+_ROW = array("i", [-1]) * 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -52,14 +57,34 @@ class Automaton:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self._gadget(ids[a], ids[b], ids[a + b], time)
         self.sizes = [len(self.labels.get(i, b"")) for i in range(n)]
-        self.trie: dict[int, tuple[dict, int]] = {}  # by byte: what follows, and the token that ends here or -1
+        self.following: list[dict[int, int]] = [{}]  # the trie: by node and byte, the next node
+        self.ends = [-1]  # by node, the token that ends there or -1
         for i in self.live:
-            node, label = self.trie, self.labels[i]
-            for byte in label[:-1]:
-                node = node.setdefault(byte, ({}, -1))[0]
-            node[label[-1]] = (node.get(label[-1], ({}, -1))[0], i)
+            node = 0
+            for byte in self.labels[i]:
+                node = self.following[node].setdefault(byte, len(self.ends))
+                if node == len(self.ends):
+                    self.following.append({})
+                    self.ends.append(-1)
+            self.ends[node] = i
         self.arcs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        """The table with the first state alone."""
+        self.table = array("i")  # by state and byte, the next state or -1
+        self.last: list[int] = []  # by state, the last token of the path
+        self.items: list[tuple[int, ...]] = []  # by state, the open places, the earliest first: (last token + 1) << 20 | trie node
+        self.states: dict[tuple[int, ...], int] = {}
+        self._state((0,))
+
+    def _state(self, items: tuple[int, ...]) -> int:
+        n = self.states[items] = len(self.items)
+        self.items.append(items)
+        self.last.append((items[-1] >> 20) - 1)
+        self.table.extend(_ROW)
+        return n
 
     def _gadget(self, a: int, b: int, c: int, time: int) -> None:
         if a not in self.live or b not in self.live or not self.has_arc(a, b):
@@ -90,48 +115,57 @@ class Automaton:
             until = self.made[x] if self.made[x] < until else until
             x = self.right[x]
 
+    def _arc(self, item: int) -> bool:
+        """Whether the state that a token leads to has an arc; both are in the key as in an item, with the arc for the node."""
+        if len(self.arcs) >= KEPT * 4:
+            self.arcs.clear()
+        last = (item >> 20) - 1
+        ok = self.arcs[item] = last < 0 or self.has_arc(last, item & 0xFFFFF)
+        return ok
+
+    def _step(self, state: int, byte: int) -> int:
+        """Computes a transition of the table."""
+        token, items, following, ends, arcs = -1, [], self.following, self.ends, self.arcs
+        for item in self.items[state]:
+            x = following[item & 0xFFFFF].get(byte)
+            if x is not None:
+                last = item & ~0xFFFFF
+                if token < 0 and ends[x] >= 0:
+                    ok = arcs.get(last | ends[x])
+                    if self._arc(last | ends[x]) if ok is None else ok:
+                        token = ends[x]
+                if following[x]:
+                    items.append(last | x)
+        if token < 0:
+            raise ValueError(f"no token spells the byte {byte}")
+        items.append(token + 1 << 20)
+        key = tuple(items)
+        to = self.states.get(key)
+        if to is None:
+            if len(self.items) >= STATES:
+                self._empty()
+                return self._state(key)
+            to = self._state(key)
+        self.table[state << 8 | byte] = to
+        return to
+
     def encode_word(self, word: bytes) -> list[int]:
-        """The path that spells the word. Longest arcs are tried first; a place is reached in one correct way only, so that one from
-        which the path could not go on is not tried again, and the work is bounded by the word's length times the longest token's."""
-        n, arcs, trie, sizes = len(word), self.arcs, self.trie, self.sizes
-        out: list[int] = []
-        ways: list[list[int]] = []  # at each place of the path, the arcs that are left to try, the longest last
-        dead: set[int] = set()
-        i, last = 0, -1
-        while i < n:
-            if len(ways) == len(out):
-                node, way = trie, []
-                for byte in word[i:]:
-                    x = node.get(byte)
-                    if x is None:
-                        break
-                    node, token = x
-                    if token >= 0:
-                        way.append(token)
-                ways.append(way)
-            way = ways[-1]
-            while way:
-                token = way.pop()
-                if last < 0:
-                    ok = True
-                else:
-                    key = last << 20 | token
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) >= KEPT * 4:
-                            arcs.clear()
-                        ok = arcs[key] = self.has_arc(last, token)
-                if ok:
-                    to = i + sizes[token]
-                    if to not in dead:
-                        out.append(token)
-                        i, last = to, token
-                        break
-            else:
-                dead.add(i)
-                ways.pop()
-                i -= sizes[out.pop()]
-                last = out[-1] if out else -1
+        """The path that spells the word, in time and memory linear in its length."""
+        state, path = 0, []
+        table, last = self.table, self.last
+        for byte in word:
+            to = table[state << 8 | byte]
+            if to < 0:
+                to = self._step(state, byte)
+                table, last = self.table, self.last
+            state = to
+            path.append(last[state])
+        out, i, sizes = [], len(word), self.sizes
+        while i:
+            token = path[i - 1]
+            out.append(token)
+            i -= sizes[token]
+        out.reverse()
         return out
 
     def decode(self, ids) -> str:
@@ -164,9 +198,11 @@ class Coder:
         for word in self.find(piece):
             ids = a.words.get(word)
             if ids is None:
-                if len(a.words) >= KEPT:
-                    a.words.clear()
-                ids = a.words[word] = a.encode_word(word.encode())
+                ids = a.encode_word(word.encode())
+                if len(word) <= LETTERS:
+                    if len(a.words) >= KEPT:
+                        a.words.clear()
+                    a.words[word] = ids
             out += ids
         return out
 
@@ -203,7 +239,7 @@ class Coder:
             ids = known.get(p)
             if ids is None:
                 ids = self._piece(p)
-                if len(p) <= 64:
+                if len(p) <= LETTERS:
                     if len(known) >= KEPT:
                         known.clear()
                     known[p] = ids
@@ -227,7 +263,7 @@ class Coder:
                     if not ids:
                         continue
                     x = (len(ids), ",".join([decimals[i] for i in ids]), b"".join([labels[i] for i in ids]))
-                    if len(p) <= 64:
+                    if len(p) <= LETTERS:
                         if len(known) >= KEPT:
                             known.clear()
                         known[p] = x
@@ -247,7 +283,8 @@ def coder(text: str) -> Coder:
     if key not in _CODERS:
         _CODERS.clear()
         _CODERS[key] = Coder(text)
-        gc.freeze()  # the tables hold no cycles; without them collections stay short
+        gc.freeze()  # the tables hold no cycles; without them collections stay short, and need not be frequent
+        gc.set_threshold(200_000, 50, 50)
     return _CODERS[key]
 
 
