@@ -1,8 +1,8 @@
 """Bloom filters made and asked with SQL functions only.
 
 A `Bloom` is a byte string of at most `bits` / 8 bytes that goes into the plan; the driver gets it as one 4 KB bitmap per 32,768 bits.
-It suits small filters: a literal of a megabyte makes planning slow. `may_have` is a filter of a fixed number of 4 KB bitmaps, each
-for one range of hashes, that is broadcast as a table of that size. Either size is its maker's choice, whatever the number of rows.
+It suits small filters: a literal of a megabyte makes planning slow. `may_have` is a filter of 4 KB bitmaps, each
+for one range of hashes, as many as the number of keys asks for up to a bound, that is broadcast as a table.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import fresh_names
+
 BUCKET = 32768
+#: Of `may_have`: bits and hash functions a key, and bitmaps at most (32 MB).
+PER_KEY, HASHES, MOST = 8, 4, 8192
 
 
 @dataclass(frozen=True)
@@ -54,17 +58,34 @@ def build(keys: DataFrame, column: str, bits: int, hashes: int, seed: int = 0) -
     return Bloom(bits, hashes, bytes(data[: math.ceil(bits / 8)]), seed)
 
 
-def may_have(df: DataFrame, keys: DataFrame, column: str, buckets: int = 256, hashes: int = 4) -> DataFrame:
-    """Rows of `df` whose key may be in `keys`, never without one that is; broadcasts `buckets` x 4 KB."""
-    k = F.col(column)
-    at = F.pmod(F.xxhash64(k), F.lit(buckets)).alias("_bucket")
-    spots = lambda: positions(F.xxhash64(k, F.lit(2)), BUCKET, hashes)
-    maps = keys.filter(k.isNotNull()).select(at, F.explode(F.array(*spots())).alias("p")).groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("_bitmap"))
-    out = df.withColumn("_bucket", at).join(F.broadcast(maps), "_bucket")
+def _asked(df: DataFrame, keys: DataFrame, column: str, buckets: int | None, how: str) -> tuple[DataFrame, Column]:
+    """`df` with the bitmaps of its keys' ranges, and whether a row's key may be among `keys`."""
+    k, (bucket, bitmap) = F.col(column), fresh_names(df, "_bucket", "_bitmap")
+    if buckets is None:
+        buckets = min(MOST, max(16, 1 << max(0, math.ceil(math.log2(max(1, keys.count()) * PER_KEY / BUCKET)))))
+    at = F.pmod(F.xxhash64(k), F.lit(buckets)).alias(bucket)
+    spots = lambda: positions(F.xxhash64(k, F.lit(2)), BUCKET, HASHES)
+    maps = keys.filter(k.isNotNull()).select(at, F.explode(F.array(*spots())).alias("p")).groupBy(bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias(bitmap))
     cond = F.lit(True)
     for pos in spots():
-        cond = cond & _bit(F.col("_bitmap"), pos)
-    return out.filter(cond).drop("_bucket", "_bitmap")
+        cond = cond & _bit(F.col(bitmap), pos)
+    return df.withColumn(bucket, at).join(F.broadcast(maps), bucket, how), cond
+
+
+def may_have(df: DataFrame, keys: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """Rows of `df` whose key may be in `keys`, never without one that is.
+
+    Broadcasts one bitmap of 4 KB a bucket: as many as the count of keys asks for, at most MOST. With more keys than those hold well,
+    more rows pass, and whoever joins after it shuffles more.
+    """
+    out, cond = _asked(df, keys, column, buckets, "inner")
+    return out.filter(cond).select(df.columns)
+
+
+def has_not(df: DataFrame, keys: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """The rows that `may_have` leaves out, those of a null key among them."""
+    out, cond = _asked(df, keys, column, buckets, "left")
+    return out.filter(~F.coalesce(cond, F.lit(False))).select(df.columns)
 
 
 def _bit(bits: Column, pos: Column) -> Column:

@@ -2,7 +2,9 @@
 
 Shingles are five words (\\w+, lower case), labelled with their occurrence in the text, so that all differ. Each of BANDS hash functions
 takes the ORDER smallest of a text's and keeps them in text order: texts agree in a band if they share those and have them in the same
-order. Texts of equal words are one class first. Candidates are verified by a banded alignment of the labelled shingles: the longest
+order. Texts of few shingles draw too few alike: up to SHORT they enter every pair, in text order, of their smallest shingles instead, so
+many that any partner above the threshold has one of the pairs, too; those a partner of theirs may have enter both. Texts of equal words
+are one class first, known by a hash of their words, whatever their ids. Candidates are verified by a banded alignment of the labelled shingles: the longest
 common subsequence inside the band that the threshold leaves, L, and similarity L / (n1 + n2 - L).
 
 A bucket of a band never becomes all its pairs. Each member is verified with one representative of the bucket; in further rounds, with
@@ -23,9 +25,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
 from .components import connected_components
-from .shared import delete, written
+from .shared import delete, fresh_names, written
 
 K, SIMILARITY, BANDS, ORDER, ROUNDS = 5, 0.8, 16, 4, 1
+#: Most shingles of a text that enters pairs of its smallest ones and no bands.
+SHORT = 16
+#: Pairs of one representative that are verified together: its text is sent once for each so many.
+STAR = 256
 #: Members of a bucket that is taken pair by pair; left-over and other texts of a tile, and shingles of either side, about.
 SMALL, HOMES, OTHERS, TILE = 16, 512, 2048, 500_000
 #: Shingles of so few texts of a tile are counted pair by pair; columns of a matrix of the others.
@@ -100,6 +106,21 @@ def sketch(x: np.ndarray, bands: int = BANDS, order: int = ORDER) -> np.ndarray:
     return out
 
 
+def few(x: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Hashes of all pairs, in text order, of a short text's smallest shingles.
+
+    A partner has at least need = ceil(least * n) of a text's n shingles in common and in order. The two smallest of those are among the
+    n - need + 2 smallest of either text, so the two texts share the pair.
+    """
+    n = len(x)
+    take = n - int(np.ceil(least * n - 1e-9)) + 2
+    if n < 2 or n > SHORT / least:
+        return np.empty(0, dtype=np.uint64)
+    at = np.sort(np.argsort(_mix(x ^ _SEEDS[0]), kind="stable")[:take])
+    i, j = np.triu_indices(len(at), 1)
+    return _mix(_mix(x[at[i]]) * _ODD + x[at[j]])
+
+
 def similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
     """Of two texts' labelled shingles by banded alignment; 0 if it cannot reach `least`."""
     n1, n2 = len(x), len(y)
@@ -133,7 +154,7 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float
 def _sketch_series(texts: pd.Series) -> pd.DataFrame:
     import xxhash
 
-    rows = []
+    rows, none = [], np.empty(0, dtype=np.int64)
     for t in texts:
         t = t or ""
         words = _WORD(t.lower())
@@ -141,14 +162,14 @@ def _sketch_series(texts: pd.Series) -> pd.DataFrame:
             d = xxhash.xxh3_128_digest(" ".join(words))
             x = shingles(t)
             a, b = np.frombuffer(d, dtype=np.int64).tolist()
-            rows.append((a, b, len(x), sketch(x).view(np.int64)))
+            rows.append((a, b, len(x), sketch(x).view(np.int64) if len(x) > SHORT else none, few(x).view(np.int64)))
         elif t.strip():
             a, b = np.frombuffer(xxhash.xxh3_128_digest("\0" + t.strip()), dtype=np.int64).tolist()
-            rows.append((a, b, 0, np.empty(0, dtype=np.int64)))
+            rows.append((a, b, 0, none, none))
         else:
-            rows.append((None, None, 0, np.empty(0, dtype=np.int64)))
-    a, b, n, bands = zip(*rows) if rows else ((), (), (), ())
-    return pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64"), "n": n, "bands": pd.Series(bands, dtype=object)})
+            rows.append((None, None, 0, none, none))
+    a, b, n, bands, pairs = zip(*rows) if rows else ((), (), (), (), ())
+    return pd.DataFrame({"a": pd.array(a, dtype="Int64"), "b": pd.array(b, dtype="Int64"), "n": n, "bands": pd.Series(bands, dtype=object), "few": pd.Series(pairs, dtype=object)})
 
 
 def _alike_series(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -161,7 +182,7 @@ def _alike_series(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def _sketches(text):
-    return F.pandas_udf(_sketch_series, "struct<a:bigint,b:bigint,n:int,bands:array<bigint>>")(text)
+    return F.pandas_udf(_sketch_series, "struct<a:bigint,b:bigint,n:int,bands:array<bigint>,few:array<bigint>>")(text)
 
 
 def _alike(x, y):
@@ -169,10 +190,17 @@ def _alike(x, y):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that are alike; the text of b travels, that of a is joined last."""
+    """Pairs (a, b) of classes that are alike; the text of b travels, that of a is joined last.
+
+    A representative of more than STAR pairs is dealt into parts, so that no task gets all texts that are near one.
+    """
     t = texts.select(F.col("cid").alias("_c"), F.col("text").alias("_t"))
-    one = pairs.join(t, F.col("b") == F.col("_c")).select("a", "b", F.col("_t").alias("_tb"))
-    both = one.join(t, F.col("a") == F.col("_c"))
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("_parts")).filter("_parts > 1").withColumnRenamed("a", "_c")
+    dealt = pairs.join(hubs, F.col("a") == F.col("_c"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("_parts", F.lit(1))).cast("int").alias("_part"))
+    one = dealt.join(t, F.col("b") == F.col("_c")).select("a", "b", "_part", F.col("_t").alias("_tb"))
+    more = bloom.may_have(t, hubs, "_c").join(hubs, "_c").select("_c", "_t", F.explode(F.sequence(F.lit(1), F.col("_parts") - 1)).alias("_p"))
+    home = t.withColumn("_p", F.lit(0)).unionByName(more)
+    both = one.join(home, (F.col("a") == F.col("_c")) & (F.col("_part") == F.col("_p")))
     return both.filter(_alike("_t", "_tb")).select("a", "b")
 
 
@@ -250,33 +278,37 @@ def _tiled(named: DataFrame, sizes: DataFrame, texts: DataFrame, least: float) -
     return homes.unionByName(others).join(texts, "cid").groupBy(*bucket, "i", "j").applyInPandas(tile, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row per row of `docs`: doc_id, class_id (the smallest id of its class), kept (doc_id = class_id).
+def keyed(docs: DataFrame, id_col: str, text_col: str, k: str = "k", g: str = "g") -> DataFrame:
+    """Two hashes that together stand for a row's id and text."""
+    return docs.withColumns({k: F.xxhash64(F.col(id_col), F.col(text_col)), g: F.xxhash64(F.col(text_col), F.lit(7))})
 
-    Null and blank texts link with nothing. Texts without a word link if equal but for outer white space. Texts of fewer than five words
-    are one shingle. A row with a null id links with nothing (class null, kept true). Rows that repeat an id with one text share a class,
-    and all are kept if that id is; other columns, whatever their names, are left out; an empty table gives an empty result.
-    """
+
+def _flags(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, str]:
+    """A written row per row of `docs`: doc_id, k, g (see `keyed`), class_id, kept, alone (a text that links with nothing)."""
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    sk = src.filter("doc_id is not null").select("doc_id", _sketches("text").alias("s")).select("doc_id", "s.a", "s.b", "s.n", "s.bands")
+    src = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    sk = src.select("doc_id", "k", "g", _sketches("text").alias("s"))
+    sk = sk.select(F.monotonically_increasing_id().alias("row"), "doc_id", "k", "g", "s.a", "s.b", "s.n", "s.bands", "s.few")
     sk, p_sk = written(sk, "sketches")
-    classes = sk.filter("a is not null").groupBy("a", "b").agg(F.min("doc_id").alias("cid"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "g", "row")).alias("first")
+    classes = sk.filter("a is not null").groupBy("a", "b").agg(first, F.min("n").alias("n")).withColumn("cid", F.col("first.row"))
     classes, p_classes = written(classes, "classes")
-    heads = sk.join(classes.filter("n > 0").select("a", "b", F.col("cid").alias("doc_id")), ["a", "b", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    rows = heads.select(F.col("doc_id").alias("cid"), "n", F.posexplode("bands").alias("band", "key"))
+    heads = sk.select(F.col("row").alias("cid"), "k", "g", "n", "bands", "few").join(classes.filter("n > 0").select("cid"), "cid", "left_semi")
+    heads, p_heads = written(heads, "heads")
+    entries = F.concat(F.transform("bands", lambda x, i: F.struct(i.alias("band"), x.alias("key"))), F.transform("few", lambda x: F.struct(F.lit(-1).alias("band"), x.alias("key"))))
+    rows = heads.select("cid", "n", F.explode(entries).alias("e")).select("cid", "n", "e.band", "e.key")
     stats = rows.groupBy("band", "key").agg(F.min("cid").alias("rep"), F.max("cid").alias("_last")).filter("rep <> _last").drop("_last")
     members, p_members = written(rows.join(stats, ["band", "key"]), "members")
     near = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)  # noqa: E731  no link is possible otherwise
-    wanted, p_wanted = written(members.select("cid").distinct(), "wanted")
-    texts = bloom.may_have(src.filter("doc_id is not null").withColumnRenamed("doc_id", "cid"), wanted, "cid").join(wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    wanted, p_wanted = written(heads.select("cid", "k", "g").join(members.select("cid").distinct(), "cid", "left_semi"), "wanted")
+    texts = bloom.may_have(src, wanted, "k").join(wanted, ["k", "g"]).select("cid", "text").dropDuplicates(["cid"])
     texts, p_texts = written(texts, "texts")
 
     heads_n = members.select(F.col("cid").alias("_r"), F.col("n").alias("_rn")).distinct()
     star = members.filter("cid <> rep").select("cid", "n", "rep").distinct().join(heads_n, F.col("rep") == F.col("_r")).filter(near(F.col("n"), F.col("_rn")))
     done, p_done = written(star.select(F.col("rep").alias("a"), F.col("cid").alias("b")), "pairs")
     good, p_good = written(_verified(done, texts), "links")
-    paths = [p_sk, p_classes, p_members, p_wanted, p_texts, p_done, p_good]
+    paths = [p_sk, p_classes, p_heads, p_members, p_wanted, p_texts, p_done, p_good]
     comp = connected_components(good)
     for round_ in range(ROUNDS + 1):
         named = members.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
@@ -308,9 +340,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         done = done.unionByName(pairs)
         good = good.unionByName(more)
         comp = connected_components(good)
-    named = classes.join(comp, F.col("cid") == F.col("node"), "left").select("a", "b", F.coalesce("component", "cid").alias("class_id"))
-    linked = sk.filter("a is not null").select("doc_id", "a", "b").join(named, ["a", "b"]).select("doc_id", "class_id")
-    alone = sk.filter("a is null").select("doc_id", F.col("doc_id").alias("class_id")).unionByName(src.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
-    out, _ = written(linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True))), "near")
+    named = classes.select("a", "b", "first", "cid").join(comp, F.col("cid") == F.col("node"), "left").withColumn("_comp", F.coalesce("component", "cid")).drop("node", "component")
+    top = named.groupBy("_comp").agg(F.min("first").alias("_top"))
+    named = named.join(top, "_comp").select("a", "b", F.col("_top.doc_id").alias("class_id"), F.col("_top.row").alias("_kept"))
+    linked = sk.filter("a is not null").select("row", "doc_id", "k", "g", "a", "b").join(named, ["a", "b"]).select("doc_id", "k", "g", "class_id", (F.col("row") == F.col("_kept")).alias("kept"), F.lit(False).alias("alone"))
+    rest = sk.filter("a is null").select("doc_id", "k", "g", F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"), F.lit(True).alias("alone"))
+    out, p_out = written(linked.unionByName(rest), "near")
     delete(spark, *paths)
-    return out
+    return out, p_out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row per row of `docs`: doc_id, class_id (the smallest id of its class), kept (true for one row of each class).
+
+    Classes are of texts, whatever their ids: rows that repeat an id with other texts may be in several. The row kept has the class's
+    smallest id, of rows that share it the text that comes first by hash, and of equal rows any one. Rows with a null id take part and
+    come after all others; a class without an id has a null class_id. Null and blank texts link with nothing, and all are kept. Texts
+    without a word link if equal but for outer white space. Texts of fewer than five words are one shingle. Other columns, whatever their
+    names, are left out; an empty table gives an empty result. The result is a written table, which its caller may delete.
+    """
+    return _flags(docs, id_col, text_col, least)[0].select("doc_id", "class_id", "kept")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` that `near_duplicates` keeps, with all columns, whatever their names; of rows that repeat id and text in one
+    class one is left. Null and blank texts stay. Only rows that may be in a class with others are shuffled."""
+    flags, _ = _flags(docs, id_col, text_col, least)
+    counts = flags.filter("not alone").groupBy("k", "g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("long")).alias("stay"))
+    k, g = fresh_names(docs, "k", "g")
+    marks, _ = written(counts.filter("stay < n").select(F.col("k").alias(k), F.col("g").alias(g), (F.col("stay") > 0).alias("_stay")), "marks")
+    rows = keyed(docs, id_col, text_col, k, g)
+    clear, may = bloom.has_not(rows, marks, k), bloom.may_have(rows, marks, k)
+    rest = may.join(marks.drop("_stay"), [k, g], "left_anti")
+    first = may.join(marks.filter("_stay").drop("_stay"), [k, g], "left_semi").dropDuplicates([k, g])
+    return clear.unionByName(rest.select(clear.columns)).unionByName(first.select(clear.columns)).drop(k, g)

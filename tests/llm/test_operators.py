@@ -140,6 +140,62 @@ def test_packing(spark, docs, none):
     assert packing.best_fit_packing(none, text).count() == 0
 
 
+def test_packing_ids_of_odd_words(spark):
+    """Letters whose lower case ends in a mark, marks, and punctuation after them: ids equal the library's."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    text = vocabulary("word_bpe_49k.json").decode()
+    t, e, r = Tokenizer.from_str(text), packing.encoder(text), random.Random(8)
+    parts = ["\u0130", "DIL", "\u0131", "e\u0301", "\u0301", "\u0307", "\u00c9", "\u03a3", "\u03c3", "\u1e9e", "\ufb01", "\u01c5", "\u65e5", "\u0915\u093f", "\u0e33", "\u00aa", "\u2126", "\uac00", "\u200d", "a", "Zq", "the", ".", ",", ".,", "..", "!", "'", "-", "7", "_", "\U0001f600"]
+    odd = ["\u0130.", "\u0130,", "D\u0130L\u0130, ve", "a\u0130.b", "e\u0301.", "\u03a3,"]
+    odd += ["".join(r.choice(parts) for _ in range(r.randrange(1, 6))) + r.choice(["", ".", ",", ".,", " x"]) for _ in range(30000)]
+    got = [np.frombuffer(e.encode(x), dtype="<u4").tolist() for x in odd]
+    want = [x.ids for x in t.encode_batch(odd, add_special_tokens=False)]
+    assert [x for x, a, b in zip(odd, got, want) if a != b] == []
+
+
+def exact_sequences(lengths, cap):
+    """Fewest sequences, by trying every place of every piece."""
+    best = [len(lengths)]
+
+    def place(i, load):
+        if len(load) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(load)
+            return
+        for room in {x for x in load if x + lengths[i] <= cap}:
+            k = load.index(room)
+            place(i + 1, [*load[:k], room + lengths[i], *load[k + 1 :]])
+        place(i + 1, [*load, lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    place(0, [])
+    return best[0]
+
+
+def test_plan_against_exact_packing():
+    """Small instances: what the reduction fixes is in some best packing, and the whole is at most one sequence off."""
+    rng = np.random.default_rng(9)
+    worse = 0
+    for _ in range(150):
+        cap = int(rng.integers(8, 20))
+        lengths = [int(x) for x in rng.integers(1, cap + 1, int(rng.integers(1, 10)))]
+        counts = {x: lengths.count(x) for x in set(lengths)}
+        plan, best = packing.Plan(dict(counts), cap), exact_sequences(lengths, cap)
+        left = dict(counts)
+        for x, runs in plan.runs.items():
+            ends = [r[0] for r in runs[1:]] + [counts[x]]
+            left[x] -= sum(max(0, min(first + end - rank, plan.reduced) - first) for (rank, first, _), end in zip(runs, ends))
+        rest = [x for x, n in left.items() for _ in range(n)]
+        assert plan.reduced + exact_sequences(rest, cap) == best, (lengths, cap)
+        assert best <= plan.sequences <= best + 1
+        worse += plan.sequences > best
+    assert worse <= 5
+
+
 def test_plan():
     rng = np.random.default_rng(3)
     for top, cap in ((10, 10), (30, 20), (100, 64), (500, 128)):
@@ -190,6 +246,33 @@ def test_bpe(spark, docs, none):
     assert none.select(bpe.digest_udf(text)("text")).count() == 0
 
 
+def test_bpe_table(monkeypatch):
+    """Odd strings, a table that is emptied often, and long words in linear time."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    text = vocabulary("byte_bpe_50k.json").decode()
+    t, r = Tokenizer.from_str(text), random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz ETAOIN0129.,!'\u00e9\u00fc\u00df\u65e5\u672c\u0301\U0001f642  -_\n\t\xa0"
+    odd = ["".join(r.choice(letters) for _ in range(r.randrange(1, 50))) for _ in range(20000)]
+    want = [x.ids for x in t.encode_batch(odd, add_special_tokens=False)]
+    for states in (bpe.STATES, 500):
+        monkeypatch.setattr(bpe, "STATES", states)
+        c = bpe.Coder(text)
+        assert [x for x, ids in zip(odd, want) if c.encode(x) != ids] == []
+        assert len(c.automaton.items) <= states and all(len(w) <= bpe.LETTERS for w in c.automaton.words)
+    word = "".join(r.choice("abcdefgh") for _ in range(300_000))
+    assert c.encode(word) == t.encode(word, add_special_tokens=False).ids
+    took = []
+    for n in (1_000_000, 10_000_000):
+        began = time.process_time()
+        assert c.automaton.decode(c.encode("xy" * (n // 2))) == "xy" * (n // 2)
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.1), took
+
+
 def test_language_id(spark, docs, none):
     rng = np.random.default_rng(2)
     kinds = {"aa": ["kalo", "miru", "tasen", "volka"], "bb": ["xyqu", "zzorp", "wexim", "jukk"]}
@@ -229,11 +312,74 @@ def test_minhash_dedup(spark, docs, none):
     got = defaultdict(set)
     for r in minhash_dedup.near_duplicates(docs).collect():
         got[r["doc_id"]].add((r["class_id"], r["kept"]))
-    assert got[0] == {(0, True)} and got[1] == {(0, False)} and got[2] == {(0, False)} and got[3] == {(3, True)}
-    assert all(got[i] == {(i, True)} for i in (4, 5, 6, 11, 12, 13)) and got[8] == {(7, False)} and got[10] == {(9, False)} and got[None] == {(None, True)}
+    assert got[0] == {(0, True)} and got[1] == {(0, False)} and got[2] == {(0, False)} and got[3] == {(3, True), (3, False)}, "of a repeated row one stays"
+    assert all(got[i] == {(i, True)} for i in (4, 5, 6, 11, 12, 13)) and got[8] == {(7, False)} and got[10] == {(9, False)} and got[None] == {(0, False)}
     assert minhash_dedup.near_duplicates(docs).count() == len(TEXTS) and minhash_dedup.near_duplicates(none).count() == 0
 
 
+def brute_classes(rows):
+    """Class of each row (id, text) by the definition, as the smallest id of the class, nulls last; blank texts alone."""
+    x = [minhash_dedup.shingles(t or "") for _, t in rows]
+    words = [tuple(minhash_dedup._WORD((t or "").lower())) or (t or "").strip() for _, t in rows]
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and words[a] and (words[a] == words[b] or minhash_dedup.similarity(x[a], x[b])):
+                low, high = sorted((label[a], label[b]))
+                label = [low if c == high else c for c in label]
+    best = {c: min((rows[i][0] for i in range(len(rows)) if label[i] == c and rows[i][0] is not None), default=None) for c in label}
+    return label, [best[c] for c in label]
+
+
+def check_classes(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(c) for c in ("k", "g", "_k", "_stay", "_bucket", "_bitmap", "kept", "row")})
+    label, best = brute_classes(rows)
+    got = minhash_dedup.near_duplicates(df).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in got) == sorted((str(i), str(c)) for (i, _), c in zip(rows, best))
+    assert sum(r["kept"] for r in got) == len(set(label))
+    left = [(r["doc_id"], r["text"], r["k"], r["_stay"], r["_bucket"]) for r in minhash_dedup.one_of_each(df).collect()]
+    assert all(x[2:] == ("k", "_stay", "_bucket") for x in left)
+    want = []
+    for c in dict.fromkeys(label):
+        group = [rows[i] for i in range(len(rows)) if label[i] == c]
+        ids = [i for i, _ in group if i is not None]
+        want.append([r for r in group if not ids or r[0] == min(ids)])
+    assert len(left) == len(want)
+    for group in want:
+        assert any(x[:2] in group for x in left), group
+    return left
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """One id with two texts in either order, exact repeats, null ids, and a unique text beside a copied one under one id."""
+    a, b = prose(51, 100), prose(52, 100)
+    a1, b1 = a.replace(a.split(" ")[50], "edited", 1), b.replace(b.split(" ")[50], "edited", 1)
+    for rows in ([(1, a), (1, b), (5, a1), (6, b1)], [(1, b), (1, a), (5, a1), (6, b1)], [(6, b1), (5, a1), (1, a), (1, b)]):
+        assert sorted(x[0] for x in check_classes(spark, rows)) == [1, 1]
+    left = check_classes(spark, [(0, b), (0, b), (1, a), (1, b), (7, None), (7, None), (8, ""), (8, "")])
+    assert sorted(x[:2] for x in left if x[1]) == [(0, b), (1, a)]
+    check_classes(spark, [(None, a), (None, a), (None, b), (3, b1), (None, prose(53, 60)), (4, "one two"), (None, "One two"), (9, "...")])
+    assert check_classes(spark, []) == []
+
+
+def test_near_duplicates_of_short_texts(spark):
+    """Every pair of few shingles at or above the threshold is a candidate."""
+    rng = np.random.default_rng(12)
+    rows, found = [], 0
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(8, 26)))]
+        cut = words[:-1] if len(words) % 3 else words[:-2] if len(words) > 16 else words[1:]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(cut))]
+        x, y = minhash_dedup.shingles(rows[-2][1]), minhash_dedup.shingles(rows[-1][1])
+        alike = minhash_dedup.similarity(x, y) > 0
+        if alike and min(len(x), len(y)) <= minhash_dedup.SHORT:
+            assert set(minhash_dedup.few(x)) & set(minhash_dedup.few(y))
+            found += 1
+    assert found > 150
+    got = {r["doc_id"]: r["class_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [got[i] for i, _ in rows] == brute_classes(rows)[1]
+
+
 def test_minhash_dedup_brute(spark):
     rng = np.random.default_rng(4)
     texts = []
