@@ -2,8 +2,10 @@
 
 A message is read line by line: the `>` marks at the start of a line are its quote level, and consecutive lines of one level are one
 passage. Passages are normalised (case, white space) and hashed. Each message is entered under the hash of its whole own text and of
-each of its own passages; quoted passages are joined to these within the conversation, and the latest earlier message that has the
-passage is what is quoted. The reply's parent is the original of its shallowest quoted passage (the first of them in the text).
+each of its own passages; quoted passages are put among these, in order of turns within the conversation and the hash, and the latest
+earlier message that has the passage is what is quoted: each entry is read once, however many messages say and quote the same. Turns are
+cut into spans, so that such a passage of a long conversation is no single task; what a span begins with comes from the spans before it,
+one row each. The reply's parent is the original of its shallowest quoted passage (the first of them in the text).
 Messages that quote nothing known begin a thread. Depth and thread come from pointer jumping.
 """
 
@@ -12,10 +14,13 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import written
 
+#: Turns of a span.
+SPAN = 1024
+
 _MARKS = re.compile(r"^[ \t]*((?:>[ \t]*)+)")
 _SPACE = re.compile(r"\s+")
 
@@ -69,19 +74,32 @@ def _parse(text):
     return F.pandas_udf(_parse_series, "struct<own:string,keys:array<bigint>,quotes:array<struct<level:int,pos:int,key:bigint>>>")(text)
 
 
+def _latest_before(quoted: DataFrame, originals: DataFrame) -> DataFrame:
+    """`quoted` with `_from`: the last turn before the quote's own that has its key in the conversation, or null."""
+    key, span = ["conv_id", "key"], F.floor(F.col("turn") / SPAN).alias("_span")
+    entry = lambda df, of, quote: df.select(*key, span, "turn", of.alias("_own"), F.lit(quote).alias("_quote"), *(F.col(c) if quote else F.lit(None).cast("int").alias(c) for c in ("level", "pos")))
+    entries = entry(originals, F.col("turn"), False).unionByName(entry(quoted, F.lit(None).cast(originals.schema["turn"].dataType), True))
+    before = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    inside = entries.withColumn("_in", before("_own", Window.partitionBy(*key, "_span").orderBy("turn", F.desc("_quote")).rowsBetween(Window.unboundedPreceding, 0)))
+    spans = entries.groupBy(*key, "_span").agg(F.max("_own").alias("_last"))
+    carried = spans.withColumn("_carry", before("_last", Window.partitionBy(*key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))).filter("_carry is not null").drop("_last")
+    return inside.filter("_quote").join(carried, [*key, "_span"], "left").select("conv_id", "turn", "level", "pos", F.coalesce("_in", "_carry").alias("_from"))
+
+
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """One row per message: its columns conv_id and turn, reply (own text without quotes), n_quotes, parent_turn, thread_turn, depth.
 
     Within a conversation, (thread_turn, depth, turn) is the reply order. Null text has a null reply and no quotes; an empty one none
     either. Messages with a null conversation or turn begin a thread of their own. Of rows that repeat (conv_id, turn) each stays. A
-    conversation that holds a third of all rows is no group of one task: joins are on the conversation and the passage or the turn.
+    conversation that holds a third of all rows is no group of one task, nor is a passage that all its messages say and quote.
     Other columns, whatever their names, are left out; an empty table gives an empty result.
     """
     src = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), _parse(text).alias("p"))
     parsed, _ = written(src.select("conv_id", "turn", "p.own", "p.keys", "p.quotes"), "messages")
-    originals = parsed.select("conv_id", F.col("turn").alias("_from"), F.explode("keys").alias("key")).distinct()
-    quoted = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.pos", "q.key").distinct()
-    hits = quoted.join(originals, ["conv_id", "key"]).filter("_from < turn").groupBy("conv_id", "turn", "level", "pos").agg(F.max("_from").alias("_from"))
+    whole = parsed.filter("conv_id is not null and turn is not null")
+    originals = whole.select("conv_id", "turn", F.explode("keys").alias("key")).distinct()
+    quoted = whole.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.pos", "q.key").distinct()
+    hits = _latest_before(quoted, originals).filter("_from is not null")
     best = hits.groupBy("conv_id", "turn").agg(F.min(F.struct("level", "pos", "_from")).alias("_b")).select("conv_id", "turn", F.col("_b._from").alias("parent_turn"))
     nodes = parsed.select("conv_id", "turn").filter("conv_id is not null and turn is not null").distinct().join(best, ["conv_id", "turn"], "left")
     root = F.col("parent_turn").isNull()
