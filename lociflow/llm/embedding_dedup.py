@@ -2,7 +2,9 @@
 
 Unit vectors are turned to their principal axes. Vectors of cosine t or more are at most sqrt(2 - 2t) apart, also along each axis, so a
 grid over the first two axes sends each vector to its own cell as home and to the few cells that it may have a link in. A cell is cut
-into tiles of bounded size. In a tile the products of leading dimensions are summed first; what the others can add is bounded by the
+into tiles of bounded size; the larger they are, the fewer copies are sent, so that a tile is as large as memory allows and is compared
+in blocks. More axes would send twice the copies each, for a third of the pairs at most where no axis is much longer than the others.
+In a block the products of leading dimensions are summed first; what the others can add is bounded by the
 product of the norms of the two rests, and a pair that cannot reach t any more is left. What is left in the end is measured on the
 original vectors. Any orthonormal axes give the same links: the axes are fitted on a bounded sample.
 
@@ -23,7 +25,9 @@ from .shared import written
 
 THRESHOLD = 0.98
 #: Vectors that the axes are fitted on; home and visiting classes of a tile.
-SAMPLE, HOMES, VISITORS = 5000, 1024, 4096
+SAMPLE, HOMES, VISITORS = 5000, 8192, 32768
+#: Vectors of either side that are compared at once inside a tile.
+AT_HOME, AT_VISIT = 1024, 4096
 #: Dimensions after which a pair's bound is looked at.
 STEPS = (8, 16, 32)
 
@@ -137,14 +141,25 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         hv, ov = np.stack(h["v"].to_numpy()).astype(float), np.stack(o["v"].to_numpy()).astype(float)
         basis = bases.get(hv.shape[1])
         hid, oid, w = h["cid"].to_numpy(), o["cid"].to_numpy(), o["size"].to_numpy()
-        i, j = links(hv, ov, np.eye(hv.shape[1]) if basis is None else basis, threshold)
-        other = hid[i] != oid[j]
-        i, j = i[other], j[other]
-        if not len(i):
-            return empty
-        n = np.bincount(i, weights=w[j], minlength=len(hid)).astype("int64")
+        basis = np.eye(hv.shape[1]) if basis is None else basis
         ids, where = np.unique(np.concatenate([hid, oid]), return_inverse=True)
-        root = roots(ids, where[: len(hid)][i], where[len(hid) :][j])
+        at_home, at_visit = where[: len(hid)], where[len(hid) :]
+        n, low, high = np.zeros(len(hid), dtype=np.int64), [], []
+        for x in range(0, len(hid), AT_HOME):
+            for y in range(0, len(oid), AT_VISIT):
+                i, j = links(hv[x : x + AT_HOME], ov[y : y + AT_VISIT], basis, threshold)
+                i, j = i + x, j + y
+                other = hid[i] != oid[j]
+                i, j = i[other], j[other]
+                if len(i):
+                    n += np.bincount(i, weights=w[j], minlength=len(hid)).astype("int64")
+                    here, at = np.unique(np.concatenate([at_home[i], at_visit[j]]), return_inverse=True)
+                    root = roots(here, at[: len(i)], at[len(i) :])  # at most one edge for each vector of the block stays
+                    low.append(root[root != here])
+                    high.append(here[root != here])
+        if not low:
+            return empty
+        root = ids[roots(np.arange(len(ids)), np.concatenate(low), np.concatenate(high))]
         moved = root != ids
         return pd.DataFrame({"a": np.concatenate([ids[moved], hid[n > 0]]), "b": np.concatenate([root[moved], hid[n > 0]]), "n": np.concatenate([np.zeros(moved.sum(), dtype="int64"), n[n > 0]])})
 
