@@ -24,6 +24,8 @@ from array import array
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .shared import memory, uses_worker
+
 INF = 1 << 60
 #: Most entries of the memory of arcs, words and pieces, letters of a word in it, and states of the table (1 KB each).
 KEPT, LETTERS, STATES = 300_000, 64, 200_000
@@ -275,10 +277,12 @@ class Coder:
 
 
 _CODERS: dict[int, Coder] = {}
+memory("bpe", _CODERS.clear)
 
 
 def coder(text: str) -> Coder:
     """The coder of a tokenizer file's text, one for each Python worker."""
+    uses_worker("bpe")
     key = hash(text)
     if key not in _CODERS:
         _CODERS.clear()

@@ -17,8 +17,12 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .shared import fresh_names, uses_worker
+
 #: Bound of the sample that a dictionary is made from: different texts a language, characters a row, bytes of the dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 65_536
+#: The sample is the first of SPARE times as many different texts, which come below a share of the hashes.
+SPARE = 4
 LEVEL, BLOCK = 5, 4096
 #: Of the second measure: level, bytes of a piece at least, pieces of a text up to PIECES * BLOCK bytes at most, and the carrier, of no letters.
 FINE, PIECE, PIECES, CARRIER = 19, 12, 512, b"0" * 256
@@ -40,11 +44,15 @@ def letters(text: Column) -> Column:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Learns from rows with text and language. What the driver gets is bounded by the sample, for any number of rows."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("_l"), F.col(text).alias("_t"))
-    counts = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    short = rows.filter(F.length("_t").between(1, SAMPLE_CHARS)).withColumn("_h", F.xxhash64("_t"))
-    hashes = short.select("_l", "_h").distinct().withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h"))).filter(F.col("_n") <= SAMPLE_ROWS).drop("_n")
-    unlike = short.join(F.broadcast(hashes), ["_l", "_h"], "left_semi").dropDuplicates(["_l", "_h", "_t"])  # SAMPLE_ROWS hashes a language
-    first = unlike.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_t"))).filter(F.col("_n") <= SAMPLE_ROWS)
+    some = F.length("_t").between(1, SAMPLE_CHARS)
+    stats = rows.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.when(some, F.xxhash64("_t"))).alias("d")).collect()  # one row a language
+    counts = {r["_l"]: r["n"] for r in stats}
+    share = F.create_map(*(F.lit(x) for r in stats for x in (r["_l"], min(1.0, SPARE * SAMPLE_ROWS / max(r["d"], 1))))) if stats else F.lit(None)
+    place = F.shiftright("_h", 11) / float(1 << 53) + 0.5  # of the hash among all, from 0 to 1
+    short = rows.filter(some).withColumn("_h", F.xxhash64("_t"))
+    near = short.filter(place <= F.try_element_at(share, F.col("_l"))) if stats else short  # about SPARE * SAMPLE_ROWS different texts a language
+    unlike = near.groupBy("_l", "_h").agg(F.min("_t").alias("_t"))
+    first = unlike.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h"))).filter(F.col("_n") <= SAMPLE_ROWS)
     texts: dict[str, dict[str, None]] = {k: {} for k in counts}
     for r in first.select("_l", letters(F.col("_t")).alias("_t"), "_n").orderBy("_l", "_n").collect():
         texts[r["_l"]][r["_t"]] = None
@@ -54,8 +62,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
 def _classifier(model: Model):
     import zstandard
+
     @F.pandas_udf("struct<lang:string,score:double>")
     def classify(texts: pd.Series) -> pd.DataFrame:
+        uses_worker("language")
         coders = []
         for lang, data in model.dictionaries:
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if data else None
@@ -105,6 +115,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", margin: float =
     Null texts and texts without a letter are `und` with score 0 and rejected; so is everything under a model without languages. Other
     texts of score 0 tell no two languages apart and are not rejected. With one language every other text has score 1. Whole texts are read, however long; repeated rows get the same answer.
     """
-    src = docs.drop("lang_pred", "score", "rejected", "_p")
-    out = src.withColumn("_p", _classifier(model)(letters(F.col(text))))
-    return out.withColumns({"lang_pred": F.col("_p.lang"), "score": F.col("_p.score")}).withColumn("rejected", (F.col("lang_pred") == "und") | ((F.col("score") > 0) & (F.col("score") < margin))).drop("_p")
+    src = docs.drop("lang_pred", "score", "rejected")
+    (p,) = fresh_names(src, "_p")
+    out = src.withColumn(p, _classifier(model)(letters(F.col(text))))
+    return out.withColumns({"lang_pred": F.col(f"{p}.lang"), "score": F.col(f"{p}.score")}).withColumn("rejected", (F.col("lang_pred") == "und") | ((F.col("score") > 0) & (F.col("score") < margin))).drop(p)

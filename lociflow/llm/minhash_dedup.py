@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
 from .components import connected_components
-from .shared import delete, fresh_names, written
+from .shared import delete, fresh_names, memory, uses_worker, written
 
 K, SIMILARITY, BANDS, ORDER, ROUNDS = 5, 0.8, 16, 4, 1
 #: Most shingles of a text that enters pairs of its smallest ones and no bands.
@@ -40,7 +40,7 @@ _WORD = re.compile(r"\w+").findall
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(29).integers(1, 1 << 63, BANDS, dtype=np.uint64)
 #: Most entries of a worker's memory of word hashes; numbers held at once by a sketch.
-KEPT, AT_ONCE = 500_000, 4_000_000
+KEPT, AT_ONCE = 100_000, 4_000_000
 
 
 class _Hashes(dict):
@@ -52,6 +52,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+memory("minhash", _HASHES.clear)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -154,6 +155,7 @@ def similarity(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float
 def _sketch_series(texts: pd.Series) -> pd.DataFrame:
     import xxhash
 
+    uses_worker("minhash")
     rows, none = [], np.empty(0, dtype=np.int64)
     for t in texts:
         t = t or ""

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import written
+from .shared import memory, uses_worker, written
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length that are ranked together, about.
@@ -87,6 +87,7 @@ class Encoder:
 
 
 _ENCODERS: dict[int, Encoder] = {}
+memory("packing", _ENCODERS.clear)
 
 
 def encoder(text: str) -> Encoder:
@@ -103,6 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf(kind)
     def cut(texts: pd.Series) -> pd.Series:
+        uses_worker("packing")
         e, last = encoder(tokenizer), end.to_bytes(4, "little")
         out = []
         for t in texts:

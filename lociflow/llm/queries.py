@@ -28,28 +28,38 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(docs)
 
 
-ORACLES["op1_line_dedup"] = r"""
+def _line_levels(levels: int) -> str:
+    """SQL of the template that lines of mixed leaves get at each level of the tree; see `line_dedup`."""
+    out = ["r0 AS (SELECT dd.*, [n::varchar, array_to_string(head, ' ')] AS branch FROM dd JOIN mixed USING (n, head) WHERE n > 4)"]
+    for i in range(levels):
+        out.append(f"""t{i} AS (SELECT branch, toks, n_docs, unnest(toks[5:]) AS tok, generate_subscripts(toks[5:], 1) AS pos FROM r{i}),
+s{i} AS (SELECT branch, pos, tok, sum(n_docs) AS support FROM t{i} GROUP BY ALL),
+a{i} AS (SELECT branch, sum(n_docs) AS total FROM r{i} GROUP BY ALL),
+f{i} AS (SELECT t.branch, t.toks, any_value(t.n_docs) AS n_docs, 4 + count(*) FILTER (WHERE 2 * support > total) >= 0.75 * len(t.toks) AS fits,
+    arg_min(struct_pack(pos := pos, tok := tok), struct_pack(x := -support, y := pos)) FILTER (WHERE support > t.n_docs AND support < total) AS best
+    FROM t{i} t JOIN s{i} USING (branch, pos, tok) JOIN a{i} USING (branch) GROUP BY 1, 2),
+r{i + 1} AS (SELECT toks, n_docs, list_concat(branch, [best.pos::varchar, best.tok]) AS branch FROM f{i} WHERE NOT fits AND best IS NOT NULL)""")
+    out.append("g AS (" + " UNION ALL ".join(f"SELECT toks, branch FROM f{i} WHERE fits" for i in range(levels)) + ")")
+    return ",\n".join(out)
+
+
+ORACLES["op1_line_dedup"] = rf"""
 WITH l AS (SELECT doc_id, i, raw, trim(regexp_replace(raw, '[ \t\r]+', ' ', 'g'), ' ') AS line
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) x),
 k AS (SELECT *, list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks FROM l WHERE line <> ''),
 d AS (SELECT DISTINCT doc_id, line, toks, len(toks) AS n, toks[1:4] AS head FROM k),
-dd AS (SELECT n, head, toks, count(*) AS n_docs FROM d GROUP BY 1, 2, 3),
+dd AS (SELECT n, head, toks, count(DISTINCT doc_id) AS n_docs FROM d GROUP BY 1, 2, 3),
 mixed AS (SELECT n, head FROM d GROUP BY 1, 2 HAVING count(DISTINCT toks) > 1 AND min(doc_id) <> max(doc_id)),
-t AS (SELECT n, head, toks, n_docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM dd JOIN mixed USING (n, head)),
-s AS (SELECT n, head, pos, tok, sum(n_docs) AS support FROM t GROUP BY 1, 2, 3, 4),
-g AS (SELECT n, head, toks, list(CASE WHEN pos <= 4 OR support >= 2 THEN tok END ORDER BY pos) AS template, avg(CASE WHEN pos <= 4 OR support >= 2 THEN 1.0 ELSE 0.0 END) AS share
-    FROM t JOIN s USING (n, head, pos, tok) GROUP BY 1, 2, 3),
-m AS (SELECT d.doc_id, d.line, d.n, d.head, CASE WHEN g.share < 1 AND g.share >= 0.75 THEN list_transform(g.template, lambda x: coalesce(x, chr(0))) ELSE d.toks END AS template
-    FROM d LEFT JOIN g ON d.n = g.n AND d.head = g.head AND d.toks = g.toks),
-f AS (SELECT n, head, template, min(doc_id) AS first FROM m GROUP BY 1, 2, 3 HAVING min(doc_id) <> max(doc_id)),
-x AS (SELECT DISTINCT m.doc_id, m.line FROM m JOIN f USING (n, head, template) WHERE m.doc_id <> f.first),
+{_line_levels(line_dedup.LEVELS)},
+m AS (SELECT d.doc_id, d.line, coalesce(g.branch, list_concat(['='], d.toks)) AS template FROM d LEFT JOIN g ON d.toks = g.toks),
+f AS (SELECT template, min(doc_id) AS first FROM m GROUP BY 1 HAVING min(doc_id) <> max(doc_id)),
+x AS (SELECT DISTINCT m.doc_id, m.line FROM m JOIN f USING (template) WHERE m.doc_id <> f.first),
 o AS (SELECT l.doc_id, string_agg(l.raw, chr(10) ORDER BY l.i) FILTER (WHERE x.line IS NULL) AS text, count(*) AS n_lines, count(*) FILTER (WHERE x.line IS NOT NULL) AS n_dropped
     FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.line = x.line GROUP BY 1)
 SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(o.text, '') END AS text, CAST(coalesce(n_lines, 0) AS int) AS n_lines, CAST(coalesce(n_dropped, 0) AS int) AS n_dropped
 FROM documents d LEFT JOIN o USING (doc_id)"""
 
 
-
 def vocabulary(name: str) -> bytes:
     """A file of the installed public tokenizers: a few MB that go to the workers with the code."""
     import public_tokenizers
@@ -77,9 +87,14 @@ def op4_best_fit_packing(spark, sf_dir):
 
 
 def as_mail(talk: DataFrame) -> DataFrame:
-    """The conversations as mail: each message quotes the one before it, and that its own predecessor, one level deeper."""
+    """The conversations as mail: each message quotes the one of the turn before it, and of the turn before that, one level deeper.
+
+    Nothing is quoted where that turn is missing or its text null. Rows that repeat (conv_id, turn) stay rows of their own; quoted of
+    them is the smallest text. Rows with a null conversation or turn quote nothing. A null text under quotes is quotes alone, and empty without.
+    """
     key = ["conv_id", "turn"]
-    before = lambda n: talk.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"_t{n}"))
+    one = talk.select(*key, "text").groupBy(*key).agg(F.min("text").alias("text"))
+    before = lambda n: one.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"_t{n}"))
     quote = lambda c, marks: F.regexp_replace(c, "(?m)^", marks)
     out = talk.select(*key, "text").join(before(1), key, "left").join(before(2), key, "left")
     return out.select(*key, F.concat_ws("\n", "text", quote(F.col("_t1"), "> "), quote(F.col("_t2"), "> > ")).alias("text"))

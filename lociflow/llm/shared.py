@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,25 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
         have.add(name.lower())
         out.append(name)
     return out
+
+
+_MEMORIES: dict[str, Callable[[], None]] = {}
+_USER = [""]
+
+
+def memory(name: str, clear: Callable[[], None]) -> None:
+    """Says how to empty what an operator's functions remember in a Python worker between tasks."""
+    _MEMORIES[name] = clear
+
+
+def uses_worker(name: str) -> None:
+    """To be called where a function of the operator begins: a worker that another one used before forgets that one's memory first, so
+    that it holds one at a time, however many operators a job has."""
+    if _USER[0] != name:
+        _USER[0] = name
+        for other, clear in _MEMORIES.items():
+            if other != name:
+                clear()
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()

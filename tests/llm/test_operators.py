@@ -50,6 +50,28 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
+def test_line_dedup_of_common_values(spark, monkeypatch):
+    """Values of a variable field that are seen often stay variable, at any size; a leaf with three templates has three."""
+    kinds = ["Order of mr brown was sent to the {0} today by the post", "Order of mr brown will come from a {0} soon with some luck", "Order of mr brown had been lost near our {0} twice or so"]
+    for n in (9, 60, 600):
+        values = [f"value{chr(97 + i % 4)}" if i % 3 else "rare" + "".join(chr(97 + int(c)) for c in str(i)) for i in range(n)]
+        rows = [(i, kinds[i % 3].format(v) + f"\nown words {prose(700 + i, 9)}") for i, v in enumerate(values)]
+        rows += [(n, "Order of mr brown is a line without its like in any other text")]
+        got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        assert [i for i in range(n + 1) if got[i] != (3 <= i < n)] == [], n
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert [i for i in range(n + 1) if got[i] != (3 <= i < n)] == []
+
+
+def test_line_dedup_keeps_columns(spark):
+    names = ("_id", "_drop", "_kept", "line", "leaf", "_bucket", "_bitmap", "first")
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (None, None)], "doc_id bigint, text string").withColumns({c: F.lit(c) for c in names})
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert all(r[c] == c for r in out.collect() for c in names) and sorted(r["n_dropped"] for r in out.collect()) == [0, 0, 1]
+
+
 def brute_components(ids, pairs):
     p = {i: i for i in ids}
 
@@ -99,6 +121,22 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.embedding_dedup(df.filter("false")).count() == 0
 
 
+def test_embedding_dedup_in_blocks(spark, monkeypatch):
+    for name, size in (("HOMES", 40), ("VISITORS", 90), ("AT_HOME", 16), ("AT_VISIT", 25)):
+        monkeypatch.setattr(embedding_dedup, name, size)
+    test_embedding_dedup(spark)
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from lociflow.llm import components
+
+    monkeypatch.setattr(components, "HUBS", 8)
+    rng = np.random.default_rng(6)
+    pairs = [(7, 100 + i) for i in range(150)] + [(8, 300 + i) for i in range(90)] + [(260, 310)] * 2 + [tuple(map(int, x)) for x in rng.integers(500, 900, (150, 2))]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*pairs, (None, 1)], "a bigint, b bigint")).collect()}
+    assert got == brute_components({x for p in pairs for x in p}, pairs)
+
+
 def test_nearest(spark):
     rows, df = vectors(spark)
     got = nearest.nearest(df, F.col("vec_id") % 10 == 0).collect()
@@ -116,6 +154,39 @@ def test_nearest(spark):
     assert nearest.nearest(df.filter("false"), F.lit(True)).count() == 0
 
 
+def test_nearest_measures_few(spark):
+    """Recall and the share of vectors that are measured, over 12,000 vectors without clusters, and all embeddings of sf0.1; exact without slack."""
+    from conftest import DATA
+
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((12000, 64)).astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[50:80], x[100:110] = x[40], x[40] + 1e-4 * rng.standard_normal((10, 64))
+    index, hit, measured, queries = nearest.Index(np.arange(len(x)), x), 0, 0, range(0, 12000, 100)
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = [int(i) for i in np.lexsort((np.arange(len(x)), d))[:10]]
+        found, n = index.search(q, x[q], 10)
+        assert [i for _, i in found] == sorted((i for _, i in found), key=lambda i: (d[i], i)) and all(s == d[i] for s, i in found)
+        hit, measured = hit + len({i for _, i in found} & set(best)), measured + n
+        if q % 3000 == 0:
+            assert [i for _, i in index.search(q, x[q], 10, math.inf)[0]] == best
+    assert hit >= 0.9 * 10 * len(queries) and measured < 0.1 * len(x) * len(queries), (hit, measured)
+    df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in df.collect()}
+    got = defaultdict(set)
+    for r in nearest.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    m, ids = np.stack(list(rows.values())), np.array(list(rows))
+    index, hit, measured = nearest.Index(ids, m), 0, 0
+    for q in got:
+        d = np.sqrt(((m - rows[q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hit, measured = hit + len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist())), measured + index.search(q, rows[q], 10)[1]
+    assert len(got) == sum(i % 100 == 0 for i in rows) and hit >= 0.9 * 10 * len(got) and measured < 0.1 * len(m) * len(got), (hit, measured)
+
+
 def test_packing(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -228,6 +299,70 @@ def test_quotation_linking(spark):
     assert chat_format.link_quotes(df).count() == len(rows) and chat_format.link_quotes(df.filter("false")).count() == 0
 
 
+def brute_links(rows):
+    """(parent, thread, depth) of each (conv, turn), message by message."""
+    own, parent = defaultdict(list), {}
+    for c, t, text in rows:
+        found = chat_format.passages(text or "")
+        said = "\n".join(s for level, s in found if not level) if any(level for level, _ in found) else text or ""
+        own[c, t].append({chat_format.normal(x) for x in [said, *(s for level, s in found if not level)]} - {""})
+    for c, t, text in rows:
+        found = [(level, i, s) for i, (level, s) in enumerate(chat_format.passages(text or "")) if level]
+        for level in {x[0] for x in found}:
+            together = [s for x, _, s in found if x == level]
+            found += [(level, -1, "\n".join(together))] if len(together) > 1 else []
+        for level, i, s in sorted(found):
+            hits = [u for (d, u), keys in own.items() if d == c and u < t and any(chat_format.normal(s) in k for k in keys)]
+            if hits:
+                parent[c, t] = min(parent.get((c, t), (level, i, max(hits))), (level, i, max(hits)))
+                break
+    out = {}
+    for c, t, _ in rows:
+        depth, top = 0, t
+        while (c, top) in parent:
+            depth, top = depth + 1, parent[c, top][2]
+        out[c, t] = (parent[c, t][2] if (c, t) in parent else None, top, depth)
+    return out
+
+
+@pytest.mark.parametrize("span", [1, 3, 1024])
+def test_quotation_linking_brute(spark, monkeypatch, span):
+    """Random mail of few different passages, so that most are said many times; turns with gaps, repeats and one negative."""
+    monkeypatch.setattr(chat_format, "SPAN", span)
+    rng = np.random.default_rng(14)
+    say = ["ok", "Ok", "yes  please", "no", "see below", "thanks\na lot"]
+    rows = [("c", -4, "ok")]
+    for conv in ("c", "d", "e"):
+        for turn in np.sort(rng.integers(0, 40, 30)).tolist():
+            parts = [("> " * int(rng.integers(0, 3))) + line for _ in range(int(rng.integers(1, 4))) for line in str(rng.choice(say)).split("\n")]
+            rows.append((conv, turn, "\n".join(parts) if rng.random() > 0.05 else None))
+    got = {}
+    for r in chat_format.link_quotes(spark.createDataFrame(rows, "conv_id string, turn bigint, text string")).collect():
+        got[r["conv_id"], r["turn"]] = (r["parent_turn"], r["thread_turn"], r["depth"])
+    assert got == brute_links(rows)
+    assert sum(p is not None for p, _, _ in got.values()) > 30
+
+
+def test_quotation_linking_of_one_passage(spark):
+    """A conversation whose messages all say and quote the same: as many entries as messages, not their pairs."""
+    n = 4000
+    df = spark.range(n).select(F.lit("c").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "ok").otherwise("ok\n> ok").alias("text"))
+    out = chat_format.link_quotes(df)
+    assert out.filter("turn > 0 and parent_turn = turn - 1 and depth = turn and thread_turn = 0").count() == n - 1
+    entries = spark.range(n).select(F.lit("c").alias("conv_id"), F.col("id").alias("turn"), F.lit(1).alias("key"))
+    linked = chat_format._latest_before(entries.withColumns({"level": F.lit(1), "pos": F.lit(0)}), entries)
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert linked.count() == n and "Window" in plan and plan.count("Join") == 1, "the only join is that with the spans, one row each"
+
+
+def test_as_mail(spark):
+    from lociflow.llm.queries import as_mail
+
+    rows = [("c", 0, "a"), ("c", 1, "b"), ("c", 1, "b2"), ("c", 2, None), ("c", 5, "f"), (None, 1, "x"), ("c", None, "y")]
+    got = sorted((str(r["conv_id"]), str(r["turn"]), r["text"]) for r in as_mail(spark.createDataFrame(rows, "conv_id string, turn bigint, text string")).collect())
+    assert got == sorted([("c", "0", "a"), ("c", "1", "b\n> a"), ("c", "1", "b2\n> a"), ("c", "2", "> b\n> > a"), ("c", "5", "f"), ("None", "1", "x"), ("c", "None", "y")])
+
+
 def test_bpe(spark, docs, none):
     from tokenizers import Tokenizer
 
@@ -287,6 +422,20 @@ def test_language_id(spark, docs, none):
     assert {r["lang_pred"] for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_id_held_out(spark):
+    """Names of labelled documents that the model has not seen, by the query itself."""
+    from conftest import DATA
+
+    from lociflow.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    rows = QUERIES["op7_language_id"](spark, f"{DATA}/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == docs.count() and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for r in rows)
+    held = [r for r in rows if r["held_out"] and r["lang"]]
+    assert len(held) > 100 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.97 * len(held)
+    assert sum(r["rejected"] for r in rows) <= 0.02 * len(rows)
+
+
 def test_language_id_of_short_texts(spark):
     """Blocks of so few bytes are stored raw: all languages had one size, the larger language's name, and a rejection."""
     rng = np.random.default_rng(6)
@@ -308,6 +457,21 @@ def test_language_id_sample_of_many_copies(spark, monkeypatch):
     assert model.dictionaries == (("aa", "\n".join(texts[:3]).encode()),)
 
 
+def test_worker_holds_one_memory():
+    from lociflow.llm.shared import uses_worker
+
+    text = vocabulary("word_bpe_49k.json").decode()
+    uses_worker("minhash")
+    minhash_dedup.shingles("some words of a text here")
+    packing.encoder(text)
+    uses_worker("minhash")
+    assert minhash_dedup._HASHES
+    uses_worker("packing")
+    assert not minhash_dedup._HASHES and packing._ENCODERS
+    uses_worker("language")
+    assert not packing._ENCODERS
+
+
 def test_minhash_dedup(spark, docs, none):
     got = defaultdict(set)
     for r in minhash_dedup.near_duplicates(docs).collect():
@@ -405,6 +569,14 @@ def test_url_filter(spark):
     assert got[5][2:] == ("com/en/", "block") and got[6] == got[7] == got[8] == ("", "", None, "allow") and got[9][2:] == ("org/es/", "block") and got[10][2:] == (None, "allow") and got[11] == ("com", "", None, "allow")
 
 
+def test_url_filter_ties_and_nothing(spark):
+    df = spark.createDataFrame([(1, "x://a.com/b"), (2, None)], "page_id bigint, url string")
+    out = lambda rules: {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(df, rules).collect()}
+    assert out([("com", "/b", "block"), ("com", "/b", "allow")])[1] == ("com/b", "block") and out([])[1] == (None, "allow")
+    assert out([("a.com", "/", "allow"), ("com", "/b", "block")]) == {1: ("a.com/", "allow"), 2: (None, "allow")}
+    assert url_filter.url_filter(df.filter("false"), URL_RULES).count() == 0
+
+
 def test_cascade(spark):
     keys = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.filter("crc32(key) % 7 = 0")
