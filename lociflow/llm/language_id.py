@@ -17,7 +17,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import fresh_names, uses_worker
+from .shared import bound_batches, fresh_names, uses_worker
 
 #: Bound of the sample that a dictionary is made from: different texts a language, characters a row, bytes of the dictionary.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 20_000, 65_536
@@ -115,6 +115,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", margin: float =
     Null texts and texts without a letter are `und` with score 0 and rejected; so is everything under a model without languages. Other
     texts of score 0 tell no two languages apart and are not rejected. With one language every other text has score 1. Whole texts are read, however long; repeated rows get the same answer.
     """
+    bound_batches(docs.sparkSession)
     src = docs.drop("lang_pred", "score", "rejected")
     (p,) = fresh_names(src, "_p")
     out = src.withColumn(p, _classifier(model)(letters(F.col(text))))

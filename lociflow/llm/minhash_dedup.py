@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import bloom
 from .components import connected_components
-from .shared import delete, fresh_names, memory, uses_worker, written
+from .shared import bound_batches, delete, fresh_names, memory, uses_worker, written
 
 K, SIMILARITY, BANDS, ORDER, ROUNDS = 5, 0.8, 16, 4, 1
 #: Most shingles of a text that enters pairs of its smallest ones and no bands.
@@ -288,6 +288,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, k: str = "k", g: str = "g
 def _flags(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, str]:
     """A written row per row of `docs`: doc_id, k, g (see `keyed`), class_id, kept, alone (a text that links with nothing)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     src = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     sk = src.select("doc_id", "k", "g", _sketches("text").alias("s"))
     sk = sk.select(F.monotonically_increasing_id().alias("row"), "doc_id", "k", "g", "s.a", "s.b", "s.n", "s.bands", "s.few")

@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import memory, uses_worker, written
+from .shared import bound_batches, memory, uses_worker, written
 
 CAPACITY, END = 2048, 0
 #: Pieces of one length that are ranked together, about.
@@ -113,6 +113,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             out.append([{"length": len(p) // 4, "crc": zlib.crc32(p)} | ({"ids": p} if with_ids else {}) for p in parts])
         return pd.Series(out, dtype=object)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(cut(F.col(text_col))).alias("piece", "_p"))
     more = [F.col("_p.ids").alias("ids")] if with_ids else []
     return rows.select("doc_id", "piece", (F.col("piece").cast("bigint") * capacity).alias("start"), F.col("_p.length").alias("length"), F.col("_p.crc").alias("ids_crc32"), *more)

@@ -51,6 +51,16 @@ def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+#: Bytes of texts that a Python worker gets at once, where the session has Spark's own default.
+BATCH, _BATCH_KEY, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps the batches of whole texts small; a setting of the caller's own stays."""
+    if spark.conf.get(_BATCH_KEY, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH)
+
+
 _MEMORIES: dict[str, Callable[[], None]] = {}
 _USER = [""]
 
