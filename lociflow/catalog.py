@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,32 +14,36 @@ from .sources import bed
 class Catalog:
     """Domain tables by name; every table is lazy and normalised to its canonical schema."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], version: str = __version__):
-        self.spark, self._tables, self.version = spark, tables, version
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], version: str = __version__, root: str = ""):
+        self.spark, self._tables, self.version, self.root = spark, tables, version, root
 
     @classmethod
     def from_bed(cls, spark: SparkSession, sf_dir: str) -> Catalog:
-        return cls(spark, _Lazy(lambda name: bed.table(spark, sf_dir, name)))
+        """The bed's tables, stored in the shared folder once for a session and opened there."""
+        return cls.open(spark, bed.stored(spark, sf_dir, __version__))
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Catalog:
         """Parquet tables under `root` with a `manifest.json` ({"version": ...}) whose version must be this package's."""
-        text = "\n".join(r.value for r in spark.read.text(f"{root}/manifest.json").limit(1000).collect())
+        text = "\n".join(r.value for r in spark.read.text(f"{root}/manifest.json").limit(1000).collect())  # a few lines
         version = json.loads(text)["version"]
         if version != __version__:
             raise ValueError(f"data of version {version}, package of version {__version__}: update the package")
-        return cls(spark, _Lazy(lambda name: spark.read.parquet(f"{root}/{name}.parquet")), version)
+        return cls(spark, _Lazy(lambda name: spark.read.parquet(f"{root}/{name}.parquet")), version, root)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
         return normalise(self._tables[name], name)
 
-    @cached_property
+    @property
     def cached_search_terms(self) -> DataFrame:
-        """Search terms with lower-cased columns, persisted once for the session."""
-        t = self.search_terms
-        return t.withColumns({"name_lower": F.lower("name"), "alt_name_lower": F.lower("alt_name")}).persist()
+        """Search terms with lower-cased columns, persisted once for the session and the catalog's root."""
+        key = (self.spark.sparkContext.applicationId, self.root or id(self))
+        if key not in _TERMS:
+            t = self.search_terms
+            _TERMS[key] = t.withColumns({"name_lower": F.lower("name"), "alt_name_lower": F.lower("alt_name")}).persist()
+        return _TERMS[key]
 
     def health(self, names: tuple[str, ...] = ("traits", "genes", "variants", "study_extractions", "coloc_groups")) -> DataFrame:
         """One row: healthy if every table can be read and has a row."""
@@ -51,6 +54,9 @@ class Catalog:
         return out.agg(F.when(F.countDistinct("t") == len(names), "healthy").otherwise("unhealthy").alias("status"))
 
 
+_TERMS: dict[tuple, DataFrame] = {}
+
+
 class _Lazy(dict):
     def __init__(self, make):
         super().__init__()

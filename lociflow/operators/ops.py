@@ -28,10 +28,11 @@ def members(df: DataFrame, key: str, of: DataFrame, of_key: str | None = None, n
 
 
 def solo_filter(df: DataFrame, key: str, least: int = 2, keep_null: bool = False) -> DataFrame:
-    """Drops groups of fewer than `least` rows."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    keep = n >= least
-    return df.withColumn("_keep", (keep | F.col(key).isNull()) if keep_null else keep).filter("_keep").drop("_keep")
+    """Drops groups of fewer than `least` rows; rows of a null key are a group that is counted but never gathered, or all stay."""
+    many = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(key)
+    if not keep_null:
+        return null_safe_join(df, many, [key], "left_semi")
+    return df.filter(F.col(key).isNotNull()).join(many, key, "left_semi").select(df.columns).unionByName(df.filter(F.col(key).isNull()))
 
 
 def closure(df: DataFrame, group: str, seed: Column) -> DataFrame:

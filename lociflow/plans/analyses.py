@@ -145,8 +145,10 @@ def richest_group(rows: DataFrame, gene: str) -> DataFrame:
 
 def scaled_lbf(stats: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
     """LBF over the largest absolute LBF of its study, padded points (se = 1) removed, then cut to a window."""
-    out = stats.filter("se <> 1").withColumn("scaled_lbf", F.col("lbf_1") / F.max(F.abs("lbf_1")).over(Window.partitionBy("study_id")))
-    return out if low is None else out.filter(F.col("bp").between(low, high))
+    rows = stats.filter("se <> 1")
+    top = rows.groupBy("study_id").agg(F.max(F.abs("lbf_1")).alias("_top"))  # one row a study; a study is no single task
+    cut = rows if low is None else rows.filter(F.col("bp").between(low, high))
+    return null_safe_join(cut, top, ["study_id"]).withColumn("scaled_lbf", F.col("lbf_1") / F.col("_top")).drop("_top")
 
 
 def betas_at_snp(stats: DataFrame, prefix: str, meta: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..catalog import Catalog
 from ..functions.scalars import GUID
 from ..operators.merge import merge_associations, merge_trait_result, merge_upload_associations
-from ..operators.ops import closure
+from ..operators.ops import closure, null_safe_join
 
 H4 = 0.8
 
@@ -70,9 +70,8 @@ def coloc_pairs_of(cat: Catalog, extraction_ids: DataFrame, h4_threshold: float
     """Pairs where either side is one of the extractions (a column `id`) and h4 reaches the threshold; distinct."""
     ids = extraction_ids.select(F.col("id").alias("_id")).distinct()
     pairs = cat.coloc_pairs.filter(F.col("h4") >= h4_threshold)
-    a = pairs.join(ids, pairs["study_extraction_a_id"] == ids["_id"], "left_semi")
-    b = pairs.join(ids, pairs["study_extraction_b_id"] == ids["_id"], "left_semi")
-    return a.unionByName(b).distinct()
+    sides = pairs.withColumn("_id", F.explode(F.array("study_extraction_a_id", "study_extraction_b_id")))
+    return sides.join(ids, "_id", "left_semi").drop("_id").distinct()
 
 
 def associations_full(cat: Catalog, trait_ids: Sequence[int]) -> DataFrame:
@@ -192,8 +191,13 @@ def gene_pleiotropy(cat: Catalog) -> DataFrame:
     rows = cat.coloc_groups.select("coloc_group_id", "gene_id", "gene", "trait_category")
     own = rows.filter(F.col("gene_id").isNotNull()).select("coloc_group_id", F.col("gene_id").alias("g"), F.col("gene").alias("gene_name")).distinct()
     coding = cat.genes.filter("gene_biotype = 'protein_coding'").select(F.col("id").alias("coding_id"))
-    all_rows = rows.drop("gene").distinct().join(coding, F.col("gene_id") == F.col("coding_id"), "left")
-    return own.join(all_rows, "coloc_group_id").groupBy(F.col("g").alias("gene_id"), F.col("gene_name").alias("gene")).agg(F.countDistinct("trait_category").alias("distinct_trait_categories"), F.countDistinct(F.when(F.col("coding_id") != F.col("g"), F.col("coding_id"))).alias("distinct_protein_coding_genes"))
+    key = [F.col("g").alias("gene_id"), F.col("gene_name").alias("gene")]
+    categories = rows.filter("trait_category is not null").select("coloc_group_id", "trait_category").distinct()  # of a group once, however many rows have it
+    partners = rows.filter("gene_id is not null").select("coloc_group_id", "gene_id").distinct().join(coding, F.col("gene_id") == F.col("coding_id")).select("coloc_group_id", "coding_id")
+    of = own.join(categories, "coloc_group_id").groupBy(*key).agg(F.countDistinct("trait_category").alias("distinct_trait_categories"))
+    others = own.join(partners, "coloc_group_id").filter("coding_id <> g").groupBy(*key).agg(F.countDistinct("coding_id").alias("distinct_protein_coding_genes"))
+    out = null_safe_join(null_safe_join(own.select(*key).distinct(), of, ["gene_id", "gene"]), others, ["gene_id", "gene"])
+    return out.fillna(0, ["distinct_trait_categories", "distinct_protein_coding_genes"])
 
 
 def variant_pleiotropy(cat: Catalog) -> DataFrame:

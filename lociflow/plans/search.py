@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import Catalog
 
@@ -25,25 +26,30 @@ def search(cat: Catalog, text: str, rsquared_threshold: float = 0.8, literal: bo
 
 def _terms(cat: Catalog, text: str, literal: bool) -> DataFrame:
     pattern = re.escape(text) if literal else text
-    try:
-        re.compile(pattern)
-    except re.error as e:
+    try:  # by the engine that will run it
+        cat.spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
         raise ValueError(f"not a regular expression: {text}") from e
-    hit = lambda c: F.coalesce(F.lower(c).rlike(pattern), F.lit(False))
-    rows = cat.search_terms.filter(hit("name") | hit("alt_name"))
+    hit = lambda c: F.coalesce(F.col(c).rlike(pattern), F.lit(False))
+    rows = cat.cached_search_terms.filter(hit("name_lower") | hit("alt_name_lower"))
     name = F.when(F.col("alt_name").isNull(), F.col("name")).otherwise(F.concat("name", F.lit(" ("), "alt_name", F.lit(")")))
     call = F.when(F.col("type") == "trait", F.concat(F.lit("trait("), "type_id", F.lit(")"))).when(F.col("type") == "gene", F.concat(F.lit("gene('"), "type_id", F.lit("')")))
-    ids = {"trait": "trait_id", "gene": "gene"}
-    parts = []
-    for kind, key in ids.items():
-        coloc = cat.coloc_groups.groupBy(F.col(key).cast("string").alias("type_id")).agg(F.countDistinct("coloc_group_id").alias("num_coloc_groups"), F.countDistinct("study_id").alias("num_coloc_studies"))
-        rare = cat.rare_results.groupBy(F.col(key).cast("string").alias("type_id")).agg(F.countDistinct("rare_result_group_id").alias("num_rare_results"))
-        ext = cat.study_extractions.groupBy(F.col(key).cast("string").alias("type_id")).agg(F.countDistinct("id").alias("num_study_extractions"))
-        part = rows.filter(F.col("type") == kind)
-        for counts in (coloc, rare, ext):
-            part = part.join(counts, "type_id", "left")
-        parts.append(part)
-    out = parts[0].unionByName(parts[1]).fillna(0, ["num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions"])
+    hits = rows.select("type", "type_id").distinct()
+
+    def counts(df: DataFrame, *aggs: Column) -> DataFrame:
+        """Of the hits only: each row stands for its trait and its gene, and what is no hit goes before anything is grouped."""
+        kinds = F.explode(F.array(F.struct(F.lit("trait").alias("type"), F.col("trait_id").cast("string").alias("type_id")), F.struct(F.lit("gene").alias("type"), F.col("gene").alias("type_id"))))
+        long = df.withColumn("_k", kinds).select("*", "_k.type", "_k.type_id")
+        return long.join(hits, ["type", "type_id"], "left_semi").groupBy("type", "type_id").agg(*aggs)
+
+    out = rows
+    for part in (
+        counts(cat.coloc_groups.select("trait_id", "gene", "coloc_group_id", "study_id"), F.countDistinct("coloc_group_id").alias("num_coloc_groups"), F.countDistinct("study_id").alias("num_coloc_studies")),
+        counts(cat.rare_results.select("trait_id", "gene", "rare_result_group_id"), F.countDistinct("rare_result_group_id").alias("num_rare_results")),
+        counts(cat.study_extractions.select("trait_id", "gene", "id"), F.countDistinct("id").alias("num_study_extractions")),
+    ):
+        out = out.join(part, ["type", "type_id"], "left")
+    out = out.fillna(0, ["num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions"])
     return out.select(call.alias("call"), name.alias("name"), "type", "type_id", "sample_size", "num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions")
 
 
@@ -57,7 +63,8 @@ def _variants(cat: Catalog, text: str, threshold: float) -> DataFrame:
     proxies = ld.join(coloc, F.col("proxy_variant_id") == F.col("_c"), "left_semi").join(v, F.col("proxy_variant_id") == v["id"])
     proxy = proxies.select(F.lit("proxy_variant").alias("type"), F.col("display_snp").alias("name"), F.col("id").alias("type_id"), F.bround(F.col("r") * F.col("r"), 2).alias("rsq"))
     out = original.unionByName(proxy).distinct()
-    groups = cat.coloc_groups.groupBy(F.col("variant_id").alias("type_id")).agg(F.countDistinct("coloc_group_id").alias("num_coloc_groups"), F.count(F.lit(1)).alias("num_coloc_studies"))
-    rare = cat.rare_results.groupBy(F.col("variant_id").alias("type_id")).agg(F.count(F.lit(1)).alias("num_rare_results"))
+    of_hits = lambda df: df.join(out.select(F.col("type_id").alias("variant_id")).distinct(), "variant_id", "left_semi")
+    groups = of_hits(cat.coloc_groups).groupBy(F.col("variant_id").alias("type_id")).agg(F.countDistinct("coloc_group_id").alias("num_coloc_groups"), F.count(F.lit(1)).alias("num_coloc_studies"))
+    rare = of_hits(cat.rare_results).groupBy(F.col("variant_id").alias("type_id")).agg(F.count(F.lit(1)).alias("num_rare_results"))
     out = out.join(groups, "type_id", "left").join(rare, "type_id", "left").fillna(0, ["num_coloc_groups", "num_coloc_studies", "num_rare_results"])
     return out.select(F.concat(F.lit("variant("), F.col("type_id").cast("string"), F.lit(")")).alias("call"), "name", "type", F.col("type_id").cast("string").alias("type_id"), "rsq", "num_coloc_groups", "num_coloc_studies", "num_rare_results", F.lit(None).cast("bigint").alias("num_study_extractions"))

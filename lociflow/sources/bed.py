@@ -1,14 +1,19 @@
 """Conformance bed: the domain tables derived from the driver's star schema (FIXTURES.md section 2).
 
-The text of each table is SQL that Spark and DuckDB read alike, so that an oracle can start from the same inputs. Only the
-bed is shared; every operator on top of it is written once with the DataFrame API and once, by hand, in oracle SQL.
+The text of each table is SQL that Spark and DuckDB read alike, so that an oracle can start from the same inputs: Spark stores the
+tables once, and the oracle derives them in its own statement. Only the bed is shared; every operator on top of it is written once with the DataFrame API and once, by hand, in oracle SQL.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..storage import shared_dir
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -112,10 +117,48 @@ def oracle(text: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The bed table `name` (without its prefix) over the Parquet tables of `sf_dir`."""
+#: How the stored tables are laid out: range-partitioned and sorted by what lookups and joins ask for, so that files and row groups are skipped.
+LAYOUT = {"variants": ("chr", "bp"), "study_extractions": ("trait_id", "id"), "coloc_groups": ("coloc_group_id",), "rare_results": ("rare_result_group_id",), "associations": ("study_id", "variant_id"), "coloc_pairs": ("study_extraction_a_id",), "ld": ("lead_variant_id",), "summary_stats": ("study_id", "chr", "bp")}
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
+    """Of the source files' paths, lengths and times."""
+    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for t in RAW:
+        at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = at.getFileSystem(conf).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.md5(repr(sorted(seen)).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, sf_dir: str, version: str) -> str:
+    """The folder that holds every bed table of `sf_dir` as Parquet, and a manifest of the data's version, which is written last.
+
+    Tables are derived once for a session and state of the sources, each from those written before it; all queries read the files.
+    The folder belongs to the session, which may delete it when it ends.
+    """
+    key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
+    if key not in _STORED:
+        root = f"{shared_dir(spark)}/tables-{key[1]}-{uuid.uuid4().hex}"
+        for name, body in BED.items():
+            frame = table(spark, sf_dir, name.removeprefix("b_"), root)
+            order = LAYOUT.get(name.removeprefix("b_"))
+            if order:
+                frame = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+            frame.write.parquet(f"{root}/{name.removeprefix('b_')}.parquet")
+        spark.range(1).select(F.lit(json.dumps({"version": version})).alias("value")).write.text(f"{root}/manifest.json")
+        _STORED[key] = root
+    return _STORED[key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, root: str | None = None) -> DataFrame:
+    """The bed table `name` (without its prefix) over the Parquet tables of `sf_dir`, and over those of `root` for what it is derived from."""
     body = BED[f"b_{name}"]
-    deps = _needs(body)
-    text = " ".join([body, *(BED[d] for d in deps)])
+    deps = [n for n in BED if re.search(rf"\b{n}\b", body)] if root else _needs(body)
+    text = " ".join([body, *(() if root else (BED[d] for d in deps))])
     raws = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in RAW if re.search(rf"\b{t}\b", text)]
-    return spark.sql("WITH " + ",\n".join([*raws, *(f"{d} AS ({BED[d].strip()})" for d in deps)]) + "\n" + body)
+    of = [f"{d} AS (SELECT * FROM parquet.`{root}/{d.removeprefix('b_')}.parquet`)" if root else f"{d} AS ({BED[d].strip()})" for d in deps]
+    return spark.sql(("WITH " + ",\n".join([*raws, *of]) + "\n" if raws or of else "") + body)
