@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import __version__
 from .schemas import SCHEMAS, normalise
@@ -24,12 +24,17 @@ class Catalog:
 
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Catalog:
-        """Parquet tables under `root` with a `manifest.json` ({"version": ...}) whose version must be this package's."""
+        """Parquet tables under `root` with a `manifest.json` whose version must be this package's; it may hold the tables' schemas.
+
+        {"version": "...", "tables": {"traits": <schema as Spark's JSON>, ...}}; a table that it does not name is asked for its schema.
+        """
         text = "\n".join(r.value for r in spark.read.text(f"{root}/manifest.json").limit(1000).collect())  # a few lines
-        version = json.loads(text)["version"]
+        manifest = json.loads(text)
+        version, schemas = manifest["version"], manifest.get("tables", {})
         if version != __version__:
             raise ValueError(f"data of version {version}, package of version {__version__}: update the package")
-        return cls(spark, _Lazy(lambda name: spark.read.parquet(f"{root}/{name}.parquet")), version, root)
+        reader = lambda name: spark.read.schema(T.StructType.fromJson(schemas[name])) if name in schemas else spark.read
+        return cls(spark, _Lazy(lambda name: reader(name).parquet(f"{root}/{name}.parquet")), version, root)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:

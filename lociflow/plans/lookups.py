@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -29,7 +29,8 @@ class Bundle:
     rare_results: DataFrame | None = None
     study_extractions: DataFrame | None = None
     variants: DataFrame | None = None
-    associations: DataFrame | None = None
+    full_associations: DataFrame | None = None
+    upload_study_extractions: DataFrame | None = None
     coloc_pairs: DataFrame | None = None
     genes_in_region: DataFrame | None = None
     summary_stats: DataFrame | None = None
@@ -96,16 +97,17 @@ def _bundle(cat: Catalog, subject: DataFrame, seed: Column, own: DataFrame, incl
 
 
 def traits(cat: Catalog, trait_ids: Sequence[int | str], include_associations=False, include_coloc_pairs=False, h4_threshold=H4, include_full_associations=False) -> Bundle:
-    """Up to ten traits, collapsed; ids that are GUIDs name uploads, whose rows are appended."""
+    """Up to ten traits, collapsed; ids that are GUIDs name uploads, whose groups, rare results, extractions and pairs are appended."""
     ids = _ids(trait_ids, 10, "traits")
     guids = [i for i in ids if isinstance(i, str) and re.match(GUID, i)]
     nums = [int(i) for i in ids if i not in guids]
     seed = F.col("trait_id").isin(nums)
-    more = {"associations": associations_full(cat, nums)} if include_full_associations else {}
+    more = {"full_associations": associations_full(cat, nums)} if include_full_associations else {}
     out = _bundle(cat, cat.traits.filter(F.col("id").isin(nums)), seed, cat.study_extractions.filter(seed), include_associations, include_coloc_pairs, h4_threshold, **more)
     for g in guids:
-        up = get_upload(cat, g, include_associations)
-        out = Bundle(merge_trait_result(out.subject, up.subject), merge_trait_result(out.coloc_groups, up.coloc_groups), out.rare_results, out.study_extractions, coloc_pairs=out.coloc_pairs, associations=out.associations)
+        up = get_upload(cat, g, include_associations, include_coloc_pairs, h4_threshold)
+        both = {c: merge_trait_result(getattr(out, c), getattr(up, c)) for c in ("subject", "coloc_groups", "rare_results", "study_extractions", "coloc_pairs", "upload_study_extractions")}
+        out = replace(out, **both)
     return out
 
 
@@ -207,13 +209,20 @@ def variant_pleiotropy(cat: Catalog) -> DataFrame:
     return rows.groupBy("variant_id", "display_snp").agg(F.countDistinct("trait_category").alias("distinct_trait_categories"), F.countDistinct("coding_id").alias("distinct_protein_coding_genes"))
 
 
-def get_upload(cat: Catalog, guid: str, include_associations=False) -> Bundle:
-    """An uploaded study by GUID."""
-    if not re.match(GUID, guid or ""):
+def get_upload(cat: Catalog, guid: str, include_associations=False, include_coloc_pairs=False, h4_threshold=H4, include_summary_stats=False) -> Bundle:
+    """An uploaded study by GUID: its groups, the rare results and extractions of the studies that they are shared with, its own
+    extractions (`upload_study_extractions`), pairs, and statistics of those studies if asked for."""
+    if not isinstance(guid, str) or not re.match(GUID, guid):
         raise ValueError("not a GUID")
     up = cat.uploads.filter(F.col("guid") == guid)
     rows = cat.upload_coloc_groups.join(up.select(F.col("upload_id").alias("_u")), F.col("gwas_upload_id") == F.col("_u"), "left_semi")
+    shared = rows.select(F.coalesce("study_id", "existing_study_id").alias("_s"), F.col("variant_id").alias("_v")).filter("_s is not null").distinct()
+    at = lambda df: df.join(shared, (F.col("study_id") == F.col("_s")) & (F.col("variant_id") == F.col("_v")), "left_semi")
+    extractions, rare = at(cat.study_extractions), at(cat.rare_results)
+    own = rows.filter("study_id is null and existing_study_id is null")
+    pairs = coloc_pairs_of(cat, extractions, h4_threshold) if include_coloc_pairs else None
+    stats = cat.summary_stats.join(shared.select(F.col("_s").alias("study_id")).distinct(), "study_id", "left_semi") if include_summary_stats else None
     if include_associations:
         assoc = cat.associations.withColumn("existing_study_id", F.col("study_id"))
-        rows = merge_upload_associations(rows, assoc)
-    return Bundle(up, rows)
+        rows, rare = merge_upload_associations(rows, assoc), merge_associations(rare, cat.associations)
+    return Bundle(up, rows, rare, extractions, upload_study_extractions=own, coloc_pairs=pairs, summary_stats=stats)

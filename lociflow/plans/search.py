@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import Catalog
@@ -28,7 +28,7 @@ def _terms(cat: Catalog, text: str, literal: bool) -> DataFrame:
     pattern = re.escape(text) if literal else text
     try:  # by the engine that will run it
         cat.spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as e:
+    except IllegalArgumentException as e:
         raise ValueError(f"not a regular expression: {text}") from e
     hit = lambda c: F.coalesce(F.col(c).rlike(pattern), F.lit(False))
     rows = cat.cached_search_terms.filter(hit("name_lower") | hit("alt_name_lower"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from .functions.scalars import is_guid, source_url
 from .operators import merge
 from .plans import analyses as A, lookups as L, search as S
 from .sources import bed, formats, uploads
+from .storage import shared_dir
 
 #: Subjects of the registered queries: ids of the bed.
 ANCHOR, OTHER, GENE, VARIANT, BLOCK, GENE_NAME = 5, 55, 3, 7, 4, "Supplier#000000003"
@@ -71,6 +73,51 @@ def q_health(cat):
     return cat.health()
 
 
+#: One component of each bundle that the queries above it do not check: (query, plan, SQL).
+def _component(name: str, plan, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: plan(Catalog.from_bed(spark, sf_dir))
+    ORACLES[name] = bed.oracle(sql)
+
+
+_RARE = "rare_result_group_id, study_extraction_id, study_id, variant_id, trait_id, gene_id, min_p"
+_EXT = "id, study_id, variant_id, trait_id, gene_id, min_p, cis_trans, tissue"
+_rare = lambda b: b.rare_results.select(_RARE.split(", "))
+_ext = lambda b: b.study_extractions.select(_EXT.split(", "))
+for _name, _call, _seed in (
+    ("trait", lambda cat: L.trait(cat, ANCHOR), f"trait_id = {ANCHOR}"), ("gene", lambda cat: L.gene(cat, GENE), f"gene_id = {GENE}"),
+):
+    _component(f"{_name}_rare", lambda cat, call=_call: _rare(call(cat)), f"SELECT {_RARE} FROM b_rare_results WHERE rare_result_group_id IN (SELECT rare_result_group_id FROM b_rare_results WHERE {_seed})")
+    _component(f"{_name}_extractions", lambda cat, call=_call: _ext(call(cat)), f"SELECT {_EXT} FROM b_study_extractions WHERE {_seed}")
+for _name, _call, _seed in (
+    ("variant", lambda cat: L.variant(cat, VARIANT, include_coloc_pairs=True, include_summary_stats=True), f"variant_id = {VARIANT}"), ("region", lambda cat: L.region(cat, BLOCK, include_coloc_pairs=True), f"ld_block_id = {BLOCK}"),
+):
+    _component(f"{_name}_rare", lambda cat, call=_call: _rare(call(cat)), f"SELECT {_RARE} FROM b_rare_results WHERE {_seed}")
+    _component(f"{_name}_extractions", lambda cat, call=_call: _ext(call(cat)), f"SELECT {_EXT} FROM b_study_extractions WHERE {_seed}")
+    _component(f"{_name}_pairs", lambda cat, call=_call: call(cat).coloc_pairs, f"WITH ids AS (SELECT id FROM b_study_extractions WHERE {_seed}) SELECT DISTINCT * FROM b_coloc_pairs WHERE h4 >= 0.8e0 AND (study_extraction_a_id IN (SELECT id FROM ids) OR study_extraction_b_id IN (SELECT id FROM ids))")
+_component("region_coloc", lambda cat: L.region(cat, BLOCK).coloc_groups.select(_COLS), f"SELECT {_COLOC} FROM b_coloc_groups WHERE ld_block_id = {BLOCK}")
+_component("region_variants", lambda cat: L.region(cat, BLOCK).variants, f"SELECT * FROM b_variants WHERE ld_block_id = {BLOCK}")
+_component("gene_variants", lambda cat: L.gene(cat, GENE).variants, f"SELECT * FROM b_variants WHERE id IN (SELECT variant_id FROM b_study_extractions WHERE gene_id = {GENE})")
+_component("variant_summary_stats", lambda cat: L.variant(cat, VARIANT, include_summary_stats=True).summary_stats, f"SELECT * FROM b_summary_stats WHERE study_id IN (SELECT study_id FROM b_study_extractions WHERE variant_id = {VARIANT})")
+_component("variants_expanded", lambda cat: L.variants(cat, [VARIANT, 20], expand=True).coloc_groups.select(_COLS), f"SELECT {_COLOC} FROM b_coloc_groups WHERE variant_id IN ({VARIANT}, 20)")
+_UPLOAD = """u AS (SELECT c.* FROM b_upload_coloc_groups c JOIN b_uploads b ON c.gwas_upload_id = b.upload_id WHERE b.guid IN (SELECT min(guid) FROM b_uploads)),
+    k AS (SELECT DISTINCT coalesce(study_id, existing_study_id) AS s, variant_id AS v FROM u WHERE coalesce(study_id, existing_study_id) IS NOT NULL)"""
+_upload = lambda cat, **options: L.get_upload(cat, cat.uploads.agg(F.min("guid")).first()[0], **options)
+_component("upload_rare", lambda cat: _rare(_upload(cat)), f"WITH {_UPLOAD} SELECT {_RARE} FROM b_rare_results JOIN k ON study_id = s AND variant_id = v")
+_component("upload_extractions", lambda cat: _ext(_upload(cat)), f"WITH {_UPLOAD} SELECT {_EXT} FROM b_study_extractions JOIN k ON study_id = s AND variant_id = v")
+_component("upload_summary_stats", lambda cat: _upload(cat, include_summary_stats=True).summary_stats, f"WITH {_UPLOAD} SELECT * FROM b_summary_stats WHERE study_id IN (SELECT s FROM k)")
+_component("traits_with_upload", lambda cat: _ext(L.traits(cat, [ANCHOR, cat.uploads.agg(F.min("guid")).first()[0]])), f"WITH {_UPLOAD} SELECT {_EXT} FROM b_study_extractions WHERE trait_id = {ANCHOR} UNION ALL SELECT {_EXT} FROM b_study_extractions JOIN k ON study_id = s AND variant_id = v")
+
+
+def _scanned(cat: Catalog) -> DataFrame:
+    """All statistics, written as `*.tsv.gz` of one study each, and read by the reader of such files."""
+    path = f"{shared_dir(cat.spark)}/stats-{uuid.uuid4().hex}"
+    formats.write_stats(cat.summary_stats, path)
+    return formats.read_stats(cat.spark, path).select(F.col("study_id").cast("bigint").alias("study_id"), "snp", "chr", "bp", "beta", "se", "lbf_1")
+
+
+_component("sumstats_scan", _scanned, "SELECT study_id, snp, chr, bp, beta, se, lbf_1 FROM b_summary_stats")
+
+
 def _decoded(cat: Catalog) -> DataFrame:
     """All pairs, packed as columnar JSON of at most 1,000 rows and decoded again."""
     from .schemas import SCHEMAS
@@ -123,7 +170,7 @@ def q_trait_coloc_pairs(cat):
 
 @query(f"SELECT variant_id, study_id, beta, se, p, eaf, imputed FROM b_associations WHERE study_id IN (SELECT study_id FROM b_study_extractions WHERE trait_id = {ANCHOR})")
 def q_associations_full(cat):
-    return L.trait(cat, ANCHOR, include_full_associations=True).associations
+    return L.trait(cat, ANCHOR, include_full_associations=True).full_associations
 
 
 @query(f"SELECT DISTINCT {_COLOC} FROM b_coloc_groups WHERE coloc_group_id IN (SELECT coloc_group_id FROM b_coloc_groups WHERE trait_id IN ({ANCHOR}, {OTHER}))")
@@ -249,7 +296,7 @@ def q_get_upload(cat):
     k AS (SELECT *, row_number() OVER (PARTITION BY ld_block ORDER BY p, bp, snp) AS rn FROM n WHERE p <= 5.0e-6)
     SELECT snp, chr, bp, beta, se, p, ld_block, rn = 1 AS is_lead FROM k""")
 def q_upload_normalise(cat):
-    uploads.check_upload("study", p_value_threshold=5e-6, email="a@b")
+    uploads.check_upload("study", p_value_threshold=5e-6, sample_size=1000, email="a@b")
     raw = cat.summary_stats.withColumn("p", F.abs("lbf_1") * 1e-7)
     names = {"SNP": "snp", "CHR": "chr", "BP": "bp", "BETA": "beta", "SE": "se", "P": "p"}
     return uploads.upload_normalise(raw, names, 5e-6).select("snp", "chr", "bp", "beta", "se", "p", "ld_block", "is_lead")

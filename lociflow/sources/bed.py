@@ -143,13 +143,15 @@ def stored(spark: SparkSession, sf_dir: str, version: str) -> str:
     key = (spark.sparkContext.applicationId, _fingerprint(spark, sf_dir))
     if key not in _STORED:
         root = f"{shared_dir(spark)}/tables-{key[1]}-{uuid.uuid4().hex}"
-        for name, body in BED.items():
+        schemas = {}
+        for name in BED:
             frame = table(spark, sf_dir, name.removeprefix("b_"), root)
             order = LAYOUT.get(name.removeprefix("b_"))
             if order:
                 frame = frame.repartitionByRange(*order).sortWithinPartitions(*order)
             frame.write.parquet(f"{root}/{name.removeprefix('b_')}.parquet")
-        spark.range(1).select(F.lit(json.dumps({"version": version})).alias("value")).write.text(f"{root}/manifest.json")
+            schemas[name.removeprefix("b_")] = frame.schema.jsonValue()
+        spark.range(1).select(F.lit(json.dumps({"version": version, "tables": schemas})).alias("value")).write.text(f"{root}/manifest.json")
         _STORED[key] = root
     return _STORED[key]
 

@@ -21,11 +21,22 @@ def decode_rows(df: DataFrame, json_column: str, prefix: str, schema: T.StructTy
     return rows.select(*(F.when(F.array_contains("n", f.name), cell(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields))
 
 
+def write_stats(stats: DataFrame, path: str) -> None:
+    """Statistics as gzipped tab-separated files with upper-case headers, in a folder for each study (`study_id=<id>`)."""
+    known = {f.name.lower(): f.name for f in STATS.fields}
+    columns = [F.col(c).alias(known[c.lower()]) for c in stats.columns if c.lower() in known]
+    stats.select("study_id", *columns).hint("rebalance", "study_id").write.partitionBy("study_id").option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "").option("compression", "gzip").csv(path)
+
+
 def read_stats(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """`*.tsv.gz` files with a header that may miss columns; NA is null, names are lower-cased, study_id is the file's base name."""
+    """`*.tsv.gz` files with a header that may miss columns; NA is null, names are lower-cased.
+
+    study_id is the folder's where files lie in folders `study_id=<id>`, else the file's base name without `_with_lbfs`.
+    """
     paths = [paths] if isinstance(paths, str) else list(paths)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_with_lbfs)?\.[^.]+\.[^.]+$", 1)
-    raw = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("nullValue", "NA").csv(paths).select("*", name.alias("study_id"))
+    raw = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("nullValue", "NA").csv(paths)
+    raw = raw.withColumn("study_id", F.col("study_id").cast("string")) if "study_id" in raw.columns else raw.select("*", name.alias("study_id"))
     have = {c.lower(): c for c in raw.columns}
     return raw.select("study_id", *((F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name.lower()) for f in STATS.fields))
 

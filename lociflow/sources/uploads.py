@@ -13,12 +13,23 @@ from ..operators.ops import lead_per_group
 MAX_BYTES = 1 << 30
 CATEGORIES, ANCESTRIES, BUILDS = ("continuous", "categorical"), ("EUR",), ("GRCh37", "GRCh38")
 COLUMNS = ("SNP", "CHR", "BP", "EA", "OA", "EAF", "BETA", "SE", "P")
+#: Effects come as BETA and SE, or as an odds ratio with the bounds of its 95 % interval.
+ODDS, Z95 = ("OR", "LB", "UB"), 1.96
 
 
-def check_upload(name: str, p_value_threshold: float = 5e-8, category: str = "continuous", ancestry: str = "EUR", sample_size: int = 1, reference_build: str = "GRCh38", n_bytes: int = 0, compare_with: Sequence[str] = (), email: str = "") -> None:
-    """ValueError for the first argument that is not acceptable, before any plan is built."""
+def check_columns(column_names: dict[str, str]) -> None:
+    """ValueError unless the mapping has the places, p-values and one of the two kinds of effects."""
+    missing = [c for c in ("CHR", "BP", "EA", "OA", "P") if not column_names.get(c)]
+    if missing:
+        raise ValueError(f"columns are required: {', '.join(missing)}")
+    if not all(column_names.get(c) for c in ("BETA", "SE")) and not all(column_names.get(c) for c in ODDS):
+        raise ValueError("either BETA and SE or OR, LB and UB are required")
+
+
+def check_upload(name: str, p_value_threshold: float = 5e-8, category: str = "continuous", ancestry: str = "EUR", sample_size: int | None = None, reference_build: str = "GRCh38", n_bytes: int = 0, compare_with: Sequence[str] = (), email: str = "") -> None:
+    """ValueError for the first argument that is not acceptable, before any plan is built; name, email and sample size are required."""
     for bad, what in (
-        (not name, "name is required"), (n_bytes > MAX_BYTES, "the file is larger than 1 GiB"), (category not in CATEGORIES, f"category is one of {CATEGORIES}"),
+        (not name, "name is required"), (not email, "email is required"), (n_bytes > MAX_BYTES, "the file is larger than 1 GiB"), (category not in CATEGORIES, f"category is one of {CATEGORIES}"),
         (ancestry not in ANCESTRIES, f"ancestry is one of {ANCESTRIES}"), (reference_build not in BUILDS, f"reference build is one of {BUILDS}"),
         (not 0 < p_value_threshold <= 1e-5, "p-value threshold is above 0 and at most 1e-5"), (sample_size is None or sample_size <= 0, "sample size is above 0"),
         (any(not re.match(GUID, g or "") for g in compare_with), "uploads to compare with are GUIDs"),
@@ -28,9 +39,18 @@ def check_upload(name: str, p_value_threshold: float = 5e-8, category: str = "co
 
 
 def upload_normalise(raw: DataFrame, column_names: dict[str, str], p_value_threshold: float = 5e-8, block: Column | None = None) -> DataFrame:
-    """Canonical columns by the caller's mapping, rows up to the threshold, and whether a row leads its LD block."""
-    kinds = {"BP": "bigint", "EAF": "double", "BETA": "double", "SE": "double", "P": "double"}
-    out = raw.select(*((F.col(f"`{column_names[c]}`") if c in column_names else F.lit(None)).cast(kinds.get(c, "string")).alias(c.lower()) for c in COLUMNS))
+    """Canonical columns by the caller's mapping, rows up to the threshold, and whether a row leads its LD block.
+
+    Without BETA and SE they come from the odds ratio: ln OR, and the width of its interval's logarithm over twice 1.96. An odds ratio or
+    a bound that is not above 0 gives null.
+    """
+    kinds = {"BP": "bigint", **dict.fromkeys(("EAF", "BETA", "SE", "P", *ODDS), "double")}
+    of = lambda c: (F.col(f"`{column_names[c]}`") if column_names.get(c) else F.lit(None)).cast(kinds.get(c, "string"))
+    log = lambda c: F.when(of(c) > 0, F.log(of(c)))
+    values = {c: of(c) for c in COLUMNS}
+    if not all(column_names.get(c) for c in ("BETA", "SE")) and all(column_names.get(c) for c in ODDS):
+        values |= {"BETA": log("OR"), "SE": (log("UB") - log("LB")) / (2 * Z95)}
+    out = raw.select(*(v.alias(c.lower()) for c, v in values.items()))
     out = out.filter(F.col("p") <= p_value_threshold).withColumn("ld_block", F.concat_ws(":", "chr", F.floor(F.col("bp") / 1_000_000).cast("string")) if block is None else block)
     lead = lead_per_group(out, ["ld_block"], ["p", "bp", "snp"]).select("ld_block", F.col("snp").alias("lead_snp"))
     return out.join(lead, "ld_block", "left").withColumn("is_lead", F.col("snp").eqNullSafe(F.col("lead_snp"))).drop("lead_snp")
