@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import chr_order, cut_right, is_guid, least_strict, neg_log10, relabel, truncate, wrap  # noqa: F401
 from ..operators.ops import keep_first, lead_per_group, members, n_distinct_na, null_safe_join, solo_filter, union_fill, unpivot_ordered
 
 GWS = 5e-8
+#: Traits of a dense matrix, or columns of a wide one, at most.
+MOST_DENSE = 10_000
 #: Fixed labels of the evidence metrics, in their order.
 METRICS = [("distinct_trait_categories", "Trait categories"), ("distinct_protein_coding_genes", "Protein-coding genes"), ("n_tissues", "Distinct tissues"), ("n_coloc_groups", "Colocalization groups"), ("n_rare_groups", "Rare result groups")]
 #: Fixed labels of data types.
@@ -165,16 +167,36 @@ def dedupe_traits(traits: DataFrame) -> DataFrame:
 
 
 def shared_groups(rows: DataFrame, dense: bool = False) -> DataFrame:
-    """Groups that two traits share, both directions and the diagonal; `dense` adds zeros for the traits' other pairs."""
+    """Groups that two traits share, both directions and the diagonal; `dense` adds zeros for the traits' other pairs.
+
+    A group of n traits gives n squared pairs, which is the result asked for; they are added up before the shuffle. The dense form is a
+    matrix, for at most MOST_DENSE traits: their ids are what is broadcast. More are a ValueError.
+    """
     m = rows.select("coloc_group_id", "trait_id").filter("coloc_group_id is not null").distinct()
     a, b = m.withColumnRenamed("trait_id", "trait1"), m.withColumnRenamed("trait_id", "trait2")
     out = a.join(b, "coloc_group_id").groupBy("trait1", "trait2").agg(F.count(F.lit(1)).alias("shared_colocs"))
     if not dense:
         return out
     t = m.select("trait_id").distinct()
+    if t.limit(MOST_DENSE + 1).count() > MOST_DENSE:
+        raise ValueError(f"at most {MOST_DENSE} traits make a dense matrix")
     return t.select(F.col("trait_id").alias("trait1")).crossJoin(F.broadcast(t.select(F.col("trait_id").alias("trait2")))).join(out, ["trait1", "trait2"], "left").fillna(0, ["shared_colocs"])
 
 
+def matrix(long: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """The wide form of a long one: a row per `row`, a column per value of `column`, in their order; missing cells are 0. At most MOST_DENSE columns."""
+    names = sorted(r[0] for r in long.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_DENSE + 1).collect())
+    if len(names) > MOST_DENSE:
+        raise ValueError(f"at most {MOST_DENSE} columns make a matrix")
+    return long.groupBy(row).pivot(column, names).agg(F.first(value)).fillna(0) if names else long.select(row).distinct()
+
+
+def record(spark: SparkSession, fields: dict[str, object], kinds: str) -> DataFrame:
+    """A named record as a frame of one row; `kinds` is its schema, fields that it lacks are null."""
+    schema = spark.range(0).select(F.from_json(F.lit("{}"), kinds).alias("r")).select("r.*").schema
+    return spark.createDataFrame([tuple(fields.get(f.name) for f in schema.fields)], schema)
+
+
 def shared_groups_log(shared: DataFrame) -> DataFrame:
     return shared.withColumn("log_coloc_hits", F.when(F.col("shared_colocs") > 0, F.log10("shared_colocs")))
 

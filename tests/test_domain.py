@@ -188,3 +188,20 @@ def test_uploads_as_a_stream(spark, tmp_path):
 
 def test_guid_pattern():
     assert re.match(uploads.GUID, GUID) and not re.match(uploads.GUID, GUID + "0")
+
+
+def test_matrix_and_record(spark, monkeypatch):
+    from lociflow.plans import analyses
+
+    rows = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 5), (3, 7), (None, 5)], "coloc_group_id int, trait_id int")
+    dense = analyses.shared_groups(rows, dense=True)
+    want = {(5, 5): 2, (5, 6): 1, (6, 5): 1, (6, 6): 1, (7, 7): 1}
+    assert {(r["trait1"], r["trait2"]): r["shared_colocs"] for r in dense.collect()} == {(a, b): want.get((a, b), 0) for a in (5, 6, 7) for b in (5, 6, 7)}
+    wide = analyses.matrix(analyses.shared_groups(rows), "trait1", "trait2", "shared_colocs").orderBy("trait1")
+    assert wide.columns == ["trait1", "5", "6", "7"] and [tuple(r) for r in wide.collect()] == [(5, 2, 1, 0), (6, 1, 1, 0), (7, 0, 0, 1)]
+    monkeypatch.setattr(analyses, "MOST_DENSE", 2)
+    for f in (lambda: analyses.shared_groups(rows, dense=True), lambda: analyses.matrix(rows, "coloc_group_id", "trait_id", "trait_id")):
+        with pytest.raises(ValueError):
+            f()
+    one = analyses.record(spark, {"id": 4, "trait_name": "t"}, "id bigint, trait_name string, p double")
+    assert [tuple(r) for r in one.collect()] == [(4, "t", None)]

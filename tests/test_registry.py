@@ -18,8 +18,7 @@ def test_clusters_hold_all_deduped_traits(spark):
 
 def test_all_pairs_are_decoded(spark):
     cat = Catalog.from_bed(spark, SF)
-    got = registry.QUERIES["decode_rows_all"](spark, SF)
-    assert got.count() == cat.coloc_pairs.count() > registry.QUERIES["decode_rows"](spark, SF).count()
+    assert registry.QUERIES["decode_rows"](spark, SF).count() == cat.coloc_pairs.count() > 0
 
 
 def test_ld_matrix_of_more_than_fifty(spark):
@@ -27,4 +26,4 @@ def test_ld_matrix_of_more_than_fifty(spark):
     ids = cat.variants.filter("ld_block_id = 4").select("id")
     some = [r["id"] for r in ids.collect()]
     assert len(some) > 50
-    assert lookups.ld_matrix(cat, some).count() == lookups.ld_matrix(cat, ids).count() == registry.QUERIES["ld_matrix_block"](spark, f"{DATA}/sf0.01").count() > 0
+    assert lookups.ld_matrix(cat, some).count() == lookups.ld_matrix(cat, ids).count() == registry.QUERIES["ld_matrix"](spark, f"{DATA}/sf0.01").count() > 0
