@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -14,8 +15,8 @@ from .sources import bed
 class Catalog:
     """Domain tables by name; every table is lazy and normalised to its canonical schema."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], version: str = __version__, root: str = ""):
-        self.spark, self._tables, self.version, self.root = spark, tables, version, root
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], version: str = __version__, root: str = "", normal: Collection[str] = ()):
+        self.spark, self._tables, self.version, self.root, self._normal = spark, tables, version, root, normal
 
     @classmethod
     def from_bed(cls, spark: SparkSession, sf_dir: str) -> Catalog:
@@ -26,7 +27,8 @@ class Catalog:
     def open(cls, spark: SparkSession, root: str) -> Catalog:
         """Parquet tables under `root` with a `manifest.json` whose version must be this package's; it may hold the tables' schemas.
 
-        {"version": "...", "tables": {"traits": <schema as Spark's JSON>, ...}}; a table that it does not name is asked for its schema.
+        {"version": "...", "tables": {"traits": <schema as Spark's JSON>, ...}, "normal": ["traits", ...]}; a table that it does not name
+        is asked for its schema, and one that it does not call normal is normalised, which keeps filters on its doubles from the files.
         """
         text = "\n".join(r.value for r in spark.read.text(f"{root}/manifest.json").limit(1000).collect())  # a few lines
         manifest = json.loads(text)
@@ -34,12 +36,12 @@ class Catalog:
         if version != __version__:
             raise ValueError(f"data of version {version}, package of version {__version__}: update the package")
         reader = lambda name: spark.read.schema(T.StructType.fromJson(schemas[name])) if name in schemas else spark.read
-        return cls(spark, _Lazy(lambda name: reader(name).parquet(f"{root}/{name}.parquet")), version, root)
+        return cls(spark, _Lazy(lambda name: reader(name).parquet(f"{root}/{name}.parquet")), version, root, frozenset(manifest.get("normal", ())))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
-        return normalise(self._tables[name], name)
+        return self._tables[name] if name in self._normal else normalise(self._tables[name], name)
 
     @property
     def cached_search_terms(self) -> DataFrame:

@@ -51,6 +51,18 @@ def n_distinct_na(c: str) -> Column:
     return F.countDistinct(c) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))
 
 
+def distinct_counts(keys: Sequence[str], *parts: tuple[DataFrame, dict[str, str]]) -> DataFrame:
+    """Per key the number of different non-null values: each part is a frame and {column: name of its count}, all columns of one type.
+
+    Values of all parts are made distinct together, map-side first, and counted after one more shuffle; a key without a value has no row.
+    """
+    names = [n for _, of in parts for n in of.values()]
+    items = lambda of: F.array(*(F.struct(F.lit(names.index(n)).alias("_k"), F.col(c).alias("_v")) for c, n in of.items()))
+    long = union_fill(*(df.select(*keys, F.inline(items(of))) for df, of in parts))
+    each = long.filter("_v is not null").distinct()
+    return each.groupBy(*keys).agg(*(F.count(F.when(F.col("_k") == i, 1)).alias(n) for i, n in enumerate(names)))
+
+
 def union_fill(*frames: DataFrame) -> DataFrame:
     """UNION ALL by name; missing columns are null."""
     out = frames[0]

@@ -56,14 +56,14 @@ def gene_evidence(ranked: DataFrame, coloc: DataFrame, rare: DataFrame, trait_id
     ids = trait_ids.select(F.col("trait_id").alias("_t")).distinct().withColumn("hit", F.lit(True))
     wanted = best.select(F.col("gene_id").alias("_gene"))
 
-    def rows(df: DataFrame, group: str, *more: str) -> DataFrame:
-        own = df.join(F.broadcast(wanted), df["gene_id"] == F.col("_gene")).select("_gene", F.col(group).alias("_group")).distinct()
-        all_rows = df.select(group, "trait_id", *more).distinct()
-        return own.join(all_rows, own["_group"] == all_rows[group]).join(ids, F.col("trait_id") == F.col("_t"), "left")
-
-    c = rows(coloc, "coloc_group_id", "tissue").groupBy("_gene").agg(F.countDistinct(F.when(F.col("hit"), F.col("_group"))).alias("n_coloc_groups"), F.countDistinct("tissue").alias("n_tissues"))
-    r = rows(rare, "rare_result_group_id").groupBy("_gene").agg(F.countDistinct(F.when(F.col("hit"), F.col("_group"))).alias("n_rare_groups"))
-    out = best.join(c.withColumnRenamed("_gene", "gene_id"), "gene_id", "left").join(r.withColumnRenamed("_gene", "gene_id"), "gene_id", "left").fillna(0, ["n_coloc_groups", "n_tissues", "n_rare_groups"])
+    kind = lambda df, k, group, tissue: df.select(F.lit(k).alias("_kind"), F.col(group).alias("_group"), "gene_id", "trait_id", tissue.alias("_tissue"))
+    long = kind(coloc, "c", "coloc_group_id", F.col("tissue")).unionByName(kind(rare, "r", "rare_result_group_id", F.lit(None).cast("string")))
+    own = long.join(F.broadcast(wanted), F.col("gene_id") == F.col("_gene")).select("_gene", "_kind", "_group").distinct()
+    seen = own.join(long.select("_kind", "_group", "trait_id", "_tissue").distinct(), ["_kind", "_group"]).join(ids, F.col("trait_id") == F.col("_t"), "left")
+    distinct = lambda c, on, name: F.countDistinct(F.when(on, F.col(c))).alias(name)
+    common = F.col("_kind") == "c"
+    n = seen.groupBy(F.col("_gene").alias("gene_id")).agg(distinct("_group", common & F.col("hit"), "n_coloc_groups"), distinct("_tissue", common, "n_tissues"), distinct("_group", ~common & F.col("hit"), "n_rare_groups"))
+    out = best.join(n, "gene_id", "left").fillna(0, ["n_coloc_groups", "n_tissues", "n_rare_groups"])
     return out.select("gene", "distinct_trait_categories", "distinct_protein_coding_genes", "n_tissues", "n_coloc_groups", "n_rare_groups")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..catalog import Catalog
 from ..functions.scalars import GUID
 from ..operators.merge import merge_associations, merge_trait_result, merge_upload_associations
-from ..operators.ops import closure, null_safe_join
+from ..operators.ops import closure, distinct_counts
 
 H4 = 0.8
 
@@ -47,24 +47,22 @@ def _ids(values: Sequence, most: int, what: str) -> list:
 
 
 def all_traits(cat: Catalog) -> DataFrame:
-    ext = cat.study_extractions.groupBy("trait_id").agg(F.countDistinct("id").alias("num_study_extractions"))
-    col = cat.coloc_groups.groupBy("trait_id").agg(F.countDistinct("coloc_group_id").alias("num_coloc_groups"), F.countDistinct("study_id").alias("num_coloc_studies"))
-    rare = cat.rare_results.groupBy("trait_id").agg(F.countDistinct("rare_result_group_id").alias("num_rare_results"))
-    return _rollup(cat.traits, "trait_id", ext, col, rare)
+    return _rollup(cat, cat.traits, "trait_id", "num_rare_results")
 
 
 def all_genes(cat: Catalog) -> DataFrame:
-    ext = cat.study_extractions.groupBy("gene_id").agg(F.countDistinct("id").alias("num_study_extractions"))
-    col = cat.coloc_groups.groupBy("gene_id").agg(F.countDistinct("coloc_group_id").alias("num_coloc_groups"), F.countDistinct("study_id").alias("num_coloc_studies"))
-    rare = cat.rare_results.groupBy("gene_id").agg(F.countDistinct("rare_result_group_id").alias("num_rare_groups"))
-    return _rollup(cat.genes, "gene_id", ext, col, rare)
+    return _rollup(cat, cat.genes, "gene_id", "num_rare_groups")
 
 
-def _rollup(base: DataFrame, key: str, *parts: DataFrame) -> DataFrame:
-    counts = [c for p in parts for c in p.columns if c != key]
-    for p in parts:
-        base = base.join(p.withColumnRenamed(key, "_k"), F.col("id") == F.col("_k"), "left").drop("_k")
-    return base.fillna(0, counts)
+def _rollup(cat: Catalog, base: DataFrame, key: str, rare: str) -> DataFrame:
+    keyed = lambda df: df.withColumn("_k_id", F.col(key))
+    counts = distinct_counts(
+        ["_k_id"],
+        (keyed(cat.study_extractions), {"id": "num_study_extractions"}),
+        (keyed(cat.coloc_groups), {"coloc_group_id": "num_coloc_groups", "study_id": "num_coloc_studies"}),
+        (keyed(cat.rare_results), {"rare_result_group_id": rare}),
+    )
+    return base.join(counts, F.col("id") == F.col("_k_id"), "left").drop("_k_id").fillna(0, [c for c in counts.columns if c != "_k_id"])
 
 
 def coloc_pairs_of(cat: Catalog, extraction_ids: DataFrame, h4_threshold: float = H4) -> DataFrame:
@@ -189,17 +187,20 @@ def ld_matrix(cat: Catalog, ids: Sequence[int | str] | DataFrame) -> DataFrame:
 
 
 def gene_pleiotropy(cat: Catalog) -> DataFrame:
-    """Per gene, over all rows of its coloc groups: distinct trait categories, distinct other protein-coding genes."""
+    """Per gene, over all rows of its coloc groups: distinct trait categories, distinct other protein-coding genes.
+
+    A group's categories and coding genes are made distinct first, however many rows have them, and meet the group's genes in one join.
+    """
     rows = cat.coloc_groups.select("coloc_group_id", "gene_id", "gene", "trait_category")
-    own = rows.filter(F.col("gene_id").isNotNull()).select("coloc_group_id", F.col("gene_id").alias("g"), F.col("gene").alias("gene_name")).distinct()
-    coding = cat.genes.filter("gene_biotype = 'protein_coding'").select(F.col("id").alias("coding_id"))
-    key = [F.col("g").alias("gene_id"), F.col("gene_name").alias("gene")]
-    categories = rows.filter("trait_category is not null").select("coloc_group_id", "trait_category").distinct()  # of a group once, however many rows have it
-    partners = rows.filter("gene_id is not null").select("coloc_group_id", "gene_id").distinct().join(coding, F.col("gene_id") == F.col("coding_id")).select("coloc_group_id", "coding_id")
-    of = own.join(categories, "coloc_group_id").groupBy(*key).agg(F.countDistinct("trait_category").alias("distinct_trait_categories"))
-    others = own.join(partners, "coloc_group_id").filter("coding_id <> g").groupBy(*key).agg(F.countDistinct("coding_id").alias("distinct_protein_coding_genes"))
-    out = null_safe_join(null_safe_join(own.select(*key).distinct(), of, ["gene_id", "gene"]), others, ["gene_id", "gene"])
-    return out.fillna(0, ["distinct_trait_categories", "distinct_protein_coding_genes"])
+    own = rows.filter(F.col("gene_id").isNotNull()).select("coloc_group_id", "gene_id", "gene").distinct()
+    coding = cat.genes.filter("gene_biotype = 'protein_coding'").select(F.col("id").alias("_id"))
+    kind = lambda category, gene: F.struct(category.cast("string").alias("_category"), gene.cast("bigint").alias("_coding"))
+    both = rows.select("coloc_group_id", "trait_category", "gene_id").join(coding, F.col("gene_id") == F.col("_id"), "left")
+    found = both.select("coloc_group_id", F.inline(F.array(kind(F.col("trait_category"), F.lit(None)), kind(F.lit(None), F.col("_id")))))
+    found = found.filter("_category is not null or _coding is not null").distinct()
+    each = own.join(found, "coloc_group_id", "left").select("gene_id", "gene", "_category", "_coding").distinct()
+    other = F.count(F.when(F.col("_coding") != F.col("gene_id"), 1))
+    return each.groupBy("gene_id", "gene").agg(F.count("_category").alias("distinct_trait_categories"), other.alias("distinct_protein_coding_genes"))
 
 
 def variant_pleiotropy(cat: Catalog) -> DataFrame:

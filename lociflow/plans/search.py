@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..catalog import Catalog
+from ..operators.ops import distinct_counts
 
 VARIANT_TEXT = re.compile(r"^rs|^\d+:\d+")
 
@@ -36,19 +37,18 @@ def _terms(cat: Catalog, text: str, literal: bool) -> DataFrame:
     call = F.when(F.col("type") == "trait", F.concat(F.lit("trait("), "type_id", F.lit(")"))).when(F.col("type") == "gene", F.concat(F.lit("gene('"), "type_id", F.lit("')")))
     hits = rows.select("type", "type_id").distinct()
 
-    def counts(df: DataFrame, *aggs: Column) -> DataFrame:
-        """Of the hits only: each row stands for its trait and its gene, and what is no hit goes before anything is grouped."""
-        kinds = F.explode(F.array(F.struct(F.lit("trait").alias("type"), F.col("trait_id").cast("string").alias("type_id")), F.struct(F.lit("gene").alias("type"), F.col("gene").alias("type_id"))))
-        long = df.withColumn("_k", kinds).select("*", "_k.type", "_k.type_id")
-        return long.join(hits, ["type", "type_id"], "left_semi").groupBy("type", "type_id").agg(*aggs)
+    def of_hits(df: DataFrame) -> DataFrame:
+        """Each row stands for its trait and its gene; what is no hit goes before anything is grouped."""
+        kinds = F.array(F.struct(F.lit("trait").alias("type"), F.col("trait_id").cast("string").alias("type_id")), F.struct(F.lit("gene").alias("type"), F.col("gene").alias("type_id")))
+        return df.select("*", F.inline(kinds)).join(hits, ["type", "type_id"], "left_semi")
 
-    out = rows
-    for part in (
-        counts(cat.coloc_groups.select("trait_id", "gene", "coloc_group_id", "study_id"), F.countDistinct("coloc_group_id").alias("num_coloc_groups"), F.countDistinct("study_id").alias("num_coloc_studies")),
-        counts(cat.rare_results.select("trait_id", "gene", "rare_result_group_id"), F.countDistinct("rare_result_group_id").alias("num_rare_results")),
-        counts(cat.study_extractions.select("trait_id", "gene", "id"), F.countDistinct("id").alias("num_study_extractions")),
-    ):
-        out = out.join(part, ["type", "type_id"], "left")
+    counts = distinct_counts(
+        ["type", "type_id"],
+        (of_hits(cat.coloc_groups.select("trait_id", "gene", "coloc_group_id", "study_id")), {"coloc_group_id": "num_coloc_groups", "study_id": "num_coloc_studies"}),
+        (of_hits(cat.rare_results.select("trait_id", "gene", "rare_result_group_id")), {"rare_result_group_id": "num_rare_results"}),
+        (of_hits(cat.study_extractions.select("trait_id", "gene", "id")), {"id": "num_study_extractions"}),
+    )
+    out = rows.join(counts, ["type", "type_id"], "left")
     out = out.fillna(0, ["num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions"])
     return out.select(call.alias("call"), name.alias("name"), "type", "type_id", "sample_size", "num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions")
 

@@ -32,10 +32,11 @@ SCHEMAS: dict[str, T.StructType] = {
 
 def normalise(df: DataFrame, name: str) -> DataFrame:
     """Cast to the canonical types, add missing columns as typed nulls, turn NaN into null, keep other columns as they are."""
-    known = {f.name: f.dataType for f in SCHEMAS[name].fields}
+    known, have = {f.name: f.dataType for f in SCHEMAS[name].fields}, {f.name: f.dataType for f in df.schema.fields}
 
     def column(k: str, kind: T.DataType):
-        c = F.col(f"`{k}`").cast(kind) if k in df.columns else F.lit(None).cast(kind)
-        return (F.when(~F.isnan(c), c) if isinstance(kind, T.DoubleType) else c).alias(k)
+        c = F.col(f"`{k}`") if k in have else F.lit(None)
+        c = c if have.get(k) == kind else c.cast(kind)
+        return (F.when(~F.isnan(c), c) if isinstance(kind, T.DoubleType) and k in have else c).alias(k)
 
-    return df.select(*(column(k, v) for k, v in known.items()), *(f"`{k}`" for k in df.columns if k not in known))
+    return df.select(*(column(k, v) for k, v in known.items()), *(f"`{k}`" for k in have if k not in known))

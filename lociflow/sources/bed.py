@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..schemas import SCHEMAS, normalise
 from ..storage import shared_dir
 
 RAW = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -144,14 +145,15 @@ def stored(spark: SparkSession, sf_dir: str, version: str) -> str:
     if key not in _STORED:
         root = f"{shared_dir(spark)}/tables-{key[1]}-{uuid.uuid4().hex}"
         schemas = {}
-        for name in BED:
-            frame = table(spark, sf_dir, name.removeprefix("b_"), root)
-            order = LAYOUT.get(name.removeprefix("b_"))
-            if order:
+        for name in (n.removeprefix("b_") for n in BED):
+            frame = table(spark, sf_dir, name, root)
+            if name in SCHEMAS:
+                frame = normalise(frame, name)
+            if order := LAYOUT.get(name):
                 frame = frame.repartitionByRange(*order).sortWithinPartitions(*order)
-            frame.write.parquet(f"{root}/{name.removeprefix('b_')}.parquet")
-            schemas[name.removeprefix("b_")] = frame.schema.jsonValue()
-        spark.range(1).select(F.lit(json.dumps({"version": version, "tables": schemas})).alias("value")).write.text(f"{root}/manifest.json")
+            frame.write.parquet(f"{root}/{name}.parquet")
+            schemas[name] = frame.schema.jsonValue()
+        spark.range(1).select(F.lit(json.dumps({"version": version, "tables": schemas, "normal": [n for n in schemas if n in SCHEMAS]})).alias("value")).write.text(f"{root}/manifest.json")
         _STORED[key] = root
     return _STORED[key]
 

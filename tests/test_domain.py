@@ -14,7 +14,7 @@ from lociflow import __version__
 from lociflow.catalog import Catalog
 from lociflow.functions.cluster import complete_linkage
 from lociflow.operators.merge import merge_trait_result, merge_upload_associations
-from lociflow.operators.ops import solo_filter
+from lociflow.operators.ops import distinct_counts, solo_filter
 from lociflow.plans import lookups, search
 from lociflow.sources import bed, formats, uploads
 from lociflow.streaming import ingest
@@ -47,6 +47,24 @@ def test_stored_tables_equal_the_derived(spark, cat):
         assert stored.count() == derived.count() and stored.exceptAll(derived).count() == 0
 
 
+def test_filters_reach_the_files(spark, tmp_path, cat):
+    """A stored table is normal already: a filter on a double is pushed down; another table is normalised when read."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*LessThan\(min_p", plan(cat.coloc_groups.filter("min_p < 1e-8")))
+    (tmp_path / "manifest.json").write_text('{"version": "%s"}' % __version__)
+    spark.sql("SELECT 1L AS lead_variant_id, double('NaN') AS r").write.parquet(str(tmp_path / "ld.parquet"))
+    row = Catalog.open(spark, str(tmp_path)).ld.first()
+    assert row["r"] is None and row["proxy_variant_id"] is None
+
+
+def test_distinct_counts(spark):
+    a = spark.createDataFrame([(1, 10, 5), (1, 10, 6), (1, None, 6), (2, None, None), (None, 7, None)], "k long, x long, y long")
+    b = spark.createDataFrame([(1, 10), (3, 1), (3, 1)], "k long, z long")
+    out = {r["k"]: (r["nx"], r["ny"], r["nz"]) for r in distinct_counts(["k"], (a, {"x": "nx", "y": "ny"}), (b, {"z": "nz"})).collect()}
+    assert out == {1: (1, 2, 1), 3: (0, 0, 1), None: (1, 0, 0)}
+    assert distinct_counts(["k"], (a.limit(0), {"x": "nx"})).count() == 0
+
+
 def test_shared_folder_must_be_named_on_a_cluster(spark):
     from lociflow.storage import shared_dir
 
