@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat_format, embedding_dedup, language_id, line_dedup, minhash_dedup, nearest, packing, token_counts, url_filter
+from . import bpe, chat_format, embedding_dedup, language_id, lexical_search, line_dedup, merkle, minhash_dedup, nearest, packing, pii, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,6 +144,119 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
 
 
+@query
+def op11_merkle_manifest(spark, sf_dir):
+    """The manifest of all documents by source, and a check of it against documents whose line breaks are lost where 2 divides crc32(doc_id)."""
+    docs = table(spark, sf_dir, "documents")
+    fields = lambda text: (F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lost = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.contains("text", F.lit("\n")), merkle.leaf(*fields(lost)))
+    out = merkle.manifest(docs, merkle.leaf(*fields(F.col("text"))), F.col("source"), [F.col("doc_id")], {"doc_id": F.col("doc_id"), "tampered": tampered})
+    out = out.withColumn("folded_root", merkle.fold(F.col("path"), F.coalesce("tampered", "leaf")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _sql_tree(name: str, nodes: str) -> str:
+    """CTEs of a forest over `nodes` (tree, pos from 0, node): all runs by level, and the climb of each leaf with its siblings."""
+    return f"""{name}_n AS (SELECT tree, pos, node FROM {nodes}),
+{name}_up AS (SELECT tree, 0 AS level, list(node ORDER BY pos) AS nodes FROM {name}_n GROUP BY tree
+    UNION ALL SELECT tree, level + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda r: sha256(array_to_string(nodes[3 * r + 1:3 * r + 3], ''))) FROM {name}_up WHERE len(nodes) > 1),
+{name}_top AS (SELECT tree, nodes[1] AS top FROM {name}_up WHERE len(nodes) = 1),
+{name}_run AS (SELECT tree, level, r, nodes[3 * r + 1:3 * r + 3] AS run FROM (SELECT tree, level, nodes, unnest(range(0, (len(nodes) + 2) // 3)) AS r FROM {name}_up WHERE len(nodes) > 1) x),
+{name}_climb AS (SELECT tree, pos AS leaf, pos, 0 AS level, []::struct(l varchar, r varchar)[] AS path FROM {name}_n
+    UNION ALL SELECT c.tree, c.leaf, c.pos // 3, c.level + 1, list_append(c.path, {{'l': array_to_string(run[1:c.pos % 3], ''), 'r': array_to_string(run[c.pos % 3 + 2:], '')}})
+    FROM {name}_climb c JOIN {name}_run g ON c.tree = g.tree AND c.level = g.level AND c.pos // 3 = g.r),
+{name}_path AS (SELECT tree, leaf, arg_max(path, level) AS path FROM {name}_climb GROUP BY 1, 2)"""
+
+
+def _sql_leaf(text: str) -> str:
+    fields = [f"CAST({c} AS varchar)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({c}), ':', {c}), '-')" for c in fields) + "))"
+
+
+#: crc32 of a short text by its definition, as DuckDB has no function for it.
+_SQL_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(CAST(doc_id AS varchar), ''), lambda c: ascii(c)::bigint)), lambda s, c: list_reduce(list_prepend(xor(s, c), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, source, lang, n_chars, {_sql_leaf("text")} AS leaf, {_SQL_CRC} % 2 = 0 AS bad, {_sql_leaf("replace(text, chr(10), '')")} AS lost FROM documents),
+o AS (SELECT doc_id, leaf, CASE WHEN bad THEN lost ELSE leaf END AS seen, coalesce(concat('=', source), '') AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, leaf AS node FROM d),
+{_sql_tree("a", "o")},
+s AS (SELECT '' AS tree, tree AS source, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, top AS node FROM a_top),
+{_sql_tree("b", "s")},
+f AS (SELECT o.doc_id, o.leaf, o.seen, s.node AS subroot, b_top.top AS root, list_concat(a_path.path, b_path.path) AS path
+    FROM o JOIN a_path ON o.tree = a_path.tree AND o.pos = a_path.leaf JOIN s ON s.source = o.tree JOIN b_path ON b_path.leaf = s.pos, b_top),
+g AS (SELECT *, list_reduce(list_prepend({{'l': seen, 'r': ''}}, path), lambda x, y: {{'l': sha256(concat(y.l, x.l, y.r)), 'r': ''}}).l AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda p: concat(p.l, p.r)), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g"""
+
+
+@query
+def op12_pii(spark, sf_dir):
+    """Personal data in every document: counts and a digest of the base spans, and all spans."""
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("pii", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.spans_text(base), 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
+
+
+def _sql_matches(name: str, pattern: str) -> str:
+    """Matches of a pattern in `t` (r, text): places by running sums, and what lies around them."""
+    return f"""{name}_p AS (SELECT r, string_split_regex(text, '{pattern}') AS p, regexp_extract_all(text, '{pattern}') AS m FROM t WHERE regexp_matches(text, '{pattern}')),
+{name}_u AS (SELECT r, unnest(m) AS m, unnest(p[1:len(m)]) AS a, unnest(p[2:]) AS b, unnest(range(1, len(m) + 1)) AS i FROM {name}_p),
+{name}_m AS (SELECT r, m, right(a, {pii.WINDOW}) AS a, left(b, {pii.WINDOW}) AS b, translate(concat(right(a, {pii.WINDOW}), chr(10), left(b, {pii.WINDOW})), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near,
+    regexp_replace(m, '[^0-9]', '', 'g') AS d, sum(length(a) + length(m)) OVER (PARTITION BY r ORDER BY i)::bigint AS stop FROM {name}_u)"""
+
+
+def _sql_luhn(digits: str) -> str:
+    at = f"CAST(substr(lpad({digits}, 19, '0'), i::int, 1) AS int)"
+    return f"list_sum(list_transform(range(1, 20), lambda i: CASE WHEN i % 2 = 1 THEN {at} WHEN {at} > 4 THEN 2 * {at} - 9 ELSE 2 * {at} END)) % 10 = 0"
+
+
+_near = lambda kind: f"regexp_matches(near, '(^|[^a-z])({pii.WORDS[kind]})([^a-z]|$)')"
+_CARD_SQL = f"CASE WHEN length(d) BETWEEN 13 AND 19 THEN {_sql_luhn('d')} ELSE false END"
+_INSIDE_SQL = f"regexp_extract(m, '{pii.INSIDE}')"
+_ALONE_SQL = "NOT regexp_matches(a, '[A-Za-z0-9]$') AND NOT regexp_matches(b, '^[A-Za-z0-9]')"
+_BIG = "'0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+ORACLES["op12_pii"] = rf"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{_sql_matches("e", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")},
+{_sql_matches("i", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")},
+{_sql_matches("c", r"[0-9]([ -]?[0-9])+")},
+{_sql_matches("f", r"\+[0-9][ ().0-9-]+[0-9]")},
+{_sql_matches("b", pii.IBAN)},
+{_sql_matches("n", pii.NATIONAL)},
+s AS (SELECT r, 1 AS k, 'email' AS kind, stop - length(m) AS start, stop, true AS base FROM e_m
+    UNION ALL SELECT r, 2, 'ip', stop - length(m), stop, true FROM i_m WHERE len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(concat('0', left(ltrim(x, '0'), 3)) AS int) > 255)) = 0
+    UNION ALL SELECT r, 3, 'card', stop - length(m), stop, true FROM c_m WHERE {_CARD_SQL}
+    UNION ALL SELECT r, 3, 'card', stop - length(m) + instr(m, x) - 1, stop - length(m) + instr(m, x) - 1 + length(x), false FROM (SELECT *, {_INSIDE_SQL} AS x FROM c_m WHERE length(d) > 16 AND NOT {_CARD_SQL} AND {_near("card")}) y
+      WHERE x <> '' AND {_sql_luhn("regexp_replace(x, '[^0-9]', '', 'g')")}
+    UNION ALL SELECT r, 4, 'phone', stop - length(m), stop, true FROM f_m WHERE length(d) BETWEEN 9 AND 15
+    UNION ALL SELECT r, 4, 'phone', stop - length(m), stop, false FROM n_m WHERE {_ALONE_SQL} AND NOT regexp_matches(a, '{pii.LONGER}') AND NOT regexp_matches(m, '{pii.NO_NUMBER}') AND length(d) BETWEEN 7 AND 15 AND {_near("phone")}
+    UNION ALL SELECT r, 5, 'iban', stop - length(m), stop, false FROM (SELECT *, replace(m, ' ', '') AS x FROM b_m WHERE {_ALONE_SQL}) y
+      WHERE list_reduce(list_prepend(0::bigint, list_transform(string_split(concat(x[5:], x[1:4]), ''), lambda c: instr({_BIG}, c)::bigint - 1)), lambda s, v: CASE WHEN v > 9 THEN s * 100 + v ELSE s * 10 + v END % 97) = 1),
+g AS (SELECT r, count(*) FILTER (WHERE k = 1) AS n_email, count(*) FILTER (WHERE k = 2) AS n_ip, count(*) FILTER (WHERE k = 3 AND base) AS n_card, count(*) FILTER (WHERE k = 4 AND base) AS n_phone,
+    string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY k, start) FILTER (WHERE base) AS b, string_agg(concat(kind, ':', start, ':', stop), ',' ORDER BY k, start) AS spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (r)"""
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    """The ten best documents for every item of the benchmark."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Fixed value: the characters of a term.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+ORACLES["op13_lexical_search"] = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS terms FROM documents),
+s AS (SELECT r, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+g AS (SELECT count(*)::bigint AS docs, sum(n)::bigint AS total FROM s),
+i AS (SELECT item_id, t, count(*)::bigint AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS t FROM benchmark) x GROUP BY 1, 2),
+p AS (SELECT r, t, count(*)::bigint AS tf FROM (SELECT r, unnest(terms) AS t FROM d) x WHERE t IN (SELECT t FROM i) GROUP BY 1, 2),
+w AS (SELECT t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM p, g GROUP BY t, docs),
+k AS (SELECT item_id, doc_id, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::bigint AS score
+    FROM i JOIN w USING (t) JOIN p USING (t) JOIN s USING (r), g GROUP BY 1, 2, 3)
+SELECT item_id, rank, doc_id, score FROM (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score FROM k WHERE score > 0) x WHERE rank <= 10"""
+
+
 @query
 def pipeline(spark, sf_dir):
     """The stages of corpus_pipeline.py over documents."""
