@@ -15,6 +15,8 @@ its row; nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The base patterns, written so that they take time in proportion to the text.
@@ -37,20 +39,33 @@ _MATCH = "array<struct<start:int,stop:int,value:string,before:string,after:strin
 SPANS = "array<struct<kind:string,start:int,stop:int,score:double,base:boolean,value:string>>"
 
 
+def _once(x: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is evaluated once, however often `then` or functions in it use it."""
+    return F.transform(F.array(x), then)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Every match, leftmost first: start and stop in code points, its text, and up to WINDOW characters on either side."""
-    piece, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(F.slice(piece, 1, F.size(found)).alias("a"), found.alias("m"), F.slice(piece, 2, F.size(found)).alias("b"))
-    each = F.transform(zipped, lambda x: F.struct(F.length(x["a"]).alias("gap"), F.length(x["m"]).alias("size"), x["m"].alias("value"), F.substring(x["a"], -WINDOW, WINDOW).alias("before"), F.substring(x["b"], 1, WINDOW).alias("after")))
-    count = F.ceil(F.size(each) / BLOCK).cast("int")
-    blocks = F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.slice(each, (i - 1) * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
     last = lambda xs: F.element_at(xs, -1)
     total = lambda block: F.aggregate(block, F.lit(0), lambda s, x: s + x["gap"] + x["size"])
-    offsets = F.aggregate(blocks, F.array(F.lit(0)), lambda s, block: F.concat(s, F.array(last(s) + total(block))))
     ends = lambda block, at: F.aggregate(block, F.array(at), lambda s, x: F.concat(s, F.array(last(s) + x["gap"] + x["size"])))
     place = lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("stop"), x["value"], x["before"], x["after"])
-    placed = F.zip_with(blocks, F.slice(offsets, F.lit(1), F.size(blocks)), lambda block, at: F.zip_with(block, F.slice(ends(block, at), F.lit(2), F.size(block)), place))
-    return F.flatten(placed).cast(_MATCH)
+    around = lambda x: F.struct(F.length(x["a"]).alias("gap"), F.length(x["m"]).alias("size"), x["m"].alias("value"), F.substring(x["a"], -WINDOW, WINDOW).alias("before"), F.substring(x["b"], 1, WINDOW).alias("after"))
+
+    def zipped(x: Column) -> Column:
+        n = F.size(x["m"])
+        return F.transform(F.arrays_zip(F.slice(x["p"], F.lit(1), n).alias("a"), x["m"].alias("m"), F.slice(x["p"], F.lit(2), n).alias("b")), around)
+
+    def blocks(each: Column) -> Column:
+        n = F.ceil(F.size(each) / BLOCK).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(each, (i - 1) * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array())
+
+    def placed(parts: Column) -> Column:
+        offsets = F.slice(F.aggregate(parts, F.array(F.lit(0)), lambda s, block: F.concat(s, F.array(last(s) + total(block)))), F.lit(1), F.size(parts))
+        return F.flatten(F.zip_with(parts, offsets, lambda block, at: F.zip_with(block, F.slice(ends(block, at), F.lit(2), F.size(block)), place)))
+
+    found = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return _once(_once(_once(found, zipped), blocks), placed).cast(_MATCH)
 
 
 def luhn(digits: Column) -> Column:
