@@ -12,23 +12,38 @@ from .schemas import SCHEMAS, normalise
 from .sources import bed
 
 
+TARGETS = ("production", "dev")
+
+
 class Catalog:
     """Domain tables by name; every table is lazy and normalised to its canonical schema."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], version: str = __version__, root: str = "", normal: Collection[str] = ()):
-        self.spark, self._tables, self.version, self.root, self._normal = spark, tables, version, root, normal
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], version: str = __version__, root: str = "", normal: Collection[str] = (), copies: dict[str, list[str]] | None = None):
+        self.spark, self._tables, self.version, self.root, self._normal, self._copies = spark, tables, version, root, normal, copies or {}
 
     @classmethod
     def from_bed(cls, spark: SparkSession, sf_dir: str) -> Catalog:
         """The bed's tables, stored in the shared folder once for a session and opened there."""
         return cls.open(spark, bed.stored(spark, sf_dir, __version__))
 
+    @classmethod
+    def target(cls, spark: SparkSession, name: str = "production") -> Catalog:
+        """The catalog of a named target, whose folder is the session's setting `spark.lociflow.<name>`; ValueError for any other name."""
+        if name not in TARGETS:
+            raise ValueError(f"target is one of {TARGETS}")
+        root = spark.conf.get(f"spark.lociflow.{name}", None)
+        if not root:
+            raise ValueError(f"spark.lociflow.{name} must name the folder of the tables")
+        return cls.open(spark, root)
+
     @classmethod
     def open(cls, spark: SparkSession, root: str) -> Catalog:
         """Parquet tables under `root` with a `manifest.json` whose version must be this package's; it may hold the tables' schemas.
 
-        {"version": "...", "tables": {"traits": <schema as Spark's JSON>, ...}, "normal": ["traits", ...]}; a table that it does not name
-        is asked for its schema, and one that it does not call normal is normalised, which keeps filters on its doubles from the files.
+        {"version": "...", "tables": {"traits": <schema as Spark's JSON>, ...}, "normal": ["traits", ...], "copies": {"associations":
+        ["variant_id"], ...}, "buckets": {"coloc_groups": ["coloc_group_id", 8], ...}}; a table that it does not name is asked for its
+        schema, and one that it does not call normal is normalised, which keeps filters on its doubles from the files. Copies are tables
+        in another order (`<table>_by_<column>.parquet`); tables in buckets are read with them.
         """
         text = "\n".join(r.value for r in spark.read.text(f"{root}/manifest.json").limit(1000).collect())  # a few lines
         manifest = json.loads(text)
@@ -36,13 +51,32 @@ class Catalog:
         if version != __version__:
             raise ValueError(f"data of version {version}, package of version {__version__}: update the package")
         reader = lambda name: spark.read.schema(T.StructType.fromJson(schemas[name])) if name in schemas else spark.read
-        return cls(spark, _Lazy(lambda name: reader(name).parquet(f"{root}/{name}.parquet")), version, root, frozenset(manifest.get("normal", ())))
+        copies, buckets = manifest.get("copies", {}), manifest.get("buckets", {})
+        schemas |= {f"{t}_by_{c}": schemas[t] for t in copies for c in copies[t] if t in schemas}
+
+        def read(name: str) -> DataFrame:
+            path = f"{root}/{name}.parquet"
+            return bed.open_buckets(spark, path, T.StructType.fromJson(schemas[name]), *buckets[name]) if name in buckets else reader(name).parquet(path)
+
+        return cls(spark, _Lazy(read), version, root, frozenset(manifest.get("normal", ())), copies)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
         return self._tables[name] if name in self._normal else normalise(self._tables[name], name)
 
+    def by(self, name: str, column: str) -> DataFrame:
+        """The table, in the copy that is in the order of the column if there is one, so that a filter on it skips files and row groups."""
+        if column not in self._copies.get(name, ()):
+            return getattr(self, name)
+        copy = self._tables[f"{name}_by_{column}"]
+        return copy if name in self._normal else normalise(copy, name)
+
+    @property
+    def has_postings(self) -> bool:
+        """Whether the catalog has posting lists of the groups, by which closures find a subject's groups."""
+        return "postings" in self._normal
+
     @property
     def cached_search_terms(self) -> DataFrame:
         """Search terms with lower-cased columns, persisted once for the session and the catalog's root."""

@@ -9,11 +9,16 @@ from .ops import keep_first, null_safe_join, union_fill
 _VALUES = ("beta", "se", "p", "eaf", "imputed")
 
 
-def merge_associations(rows: DataFrame | None, associations: DataFrame | None, order: str = "ord") -> DataFrame | None:
-    """Left join on (study_id, variant_id), first association of a key, null keys equal. Without keys or sides: unchanged."""
+def merge_associations(rows: DataFrame | None, associations: DataFrame | None, order: str = "ord", keys_first: bool = False) -> DataFrame | None:
+    """Left join on (study_id, variant_id), first association of a key, null keys equal. Without keys or sides: unchanged.
+
+    With `keys_first` the associations are cut to the rows' keys before the first of each is looked for: for rows that have few of them.
+    """
     keys = ["study_id", "variant_id"]
     if rows is None or associations is None or not set(keys) <= set(associations.columns):
         return rows
+    if keys_first:
+        associations = null_safe_join(associations, rows.select(*keys).distinct(), keys, "left_semi")
     first = keep_first(associations, keys, [order]).select(*keys, *(c for c in _VALUES if c in associations.columns))
     return null_safe_join(rows, first, keys)
 

@@ -41,11 +41,36 @@ def closure(df: DataFrame, group: str, seed: Column) -> DataFrame:
     return df.join(ids, df[group] == ids["_g"], "left_semi")
 
 
+def between_ids(df: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Rows whose column is among the ids. The smallest and largest id are known before the files are read, so that a table in the order of
+    the column is read around them only; null is never among them."""
+    low, high = (ids.agg(f(id_column)).scalar() for f in (F.min, F.max))
+    side = ids.select(F.col(id_column).alias("_m")).distinct()
+    return df.filter(F.col(column).between(low, high)).join(side, F.col(column) == F.col("_m"), "left_semi")
+
+
 def lead_per_group(df: DataFrame, keys: Sequence[str], by: Sequence[Column | str]) -> DataFrame:
     """One row per key: the smallest by `by`, nulls last."""
     return keep_first(df, keys, [F.asc_nulls_last(c) if isinstance(c, str) else c for c in by])
 
 
+def mark_first(df: DataFrame, keys: Sequence[str], by: Sequence[str], name: str, parts: int = 64) -> DataFrame:
+    """A column `name` that is true for one row of each key, the smallest by `by`, nulls last; of rows equal in all of these, for any one.
+
+    Rows of a key are ranked in parts, and the first of each part against each other, so that a key of many rows is not one task. A row
+    with a null key is never first.
+    """
+    order = [F.asc_nulls_last(c) for c in by]
+    spread = df.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
+    spread = spread.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    spread = spread.withColumn("_part", F.when(F.col("_rn") == 1, -1).otherwise(F.col("_part")))
+    first = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_rn", *order)) == 1
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return spread.withColumn(name, known & (F.col("_part") == -1) & first).drop("_part", "_rn")
+
+
 def n_distinct_na(c: str) -> Column:
     """Distinct values where null counts as a value."""
     return F.countDistinct(c) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))

@@ -105,9 +105,9 @@ def locus_agg(common: DataFrame, rare: DataFrame, anchor: int) -> DataFrame:
     keys = ["display_snp", "chr", "bp"]
 
     def part(df: DataFrame, kind: str) -> DataFrame:
-        n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_studies"))
-        p = df.filter(F.col("trait_id") == anchor).groupBy(*keys).agg(F.min("min_p").alias("min_p"))
-        return null_safe_join(p, n, keys, "inner").withColumns({"neg_log10_p": neg_log10(F.col("min_p")), "variant_type": F.lit(kind)})
+        own = F.col("trait_id") == anchor
+        loci = df.groupBy(*keys).agg(F.min(F.when(own, F.col("min_p"))).alias("min_p"), F.count(F.lit(1)).alias("n_studies"), F.count(F.when(own, 1)).alias("_own"))
+        return loci.filter("_own > 0").drop("_own").withColumns({"neg_log10_p": neg_log10(F.col("min_p")), "variant_type": F.lit(kind)})
 
     return part(common, "common").unionByName(part(rare, "rare"))
 

@@ -14,10 +14,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..catalog import Catalog
 from ..functions.scalars import GUID
+from ..operators.intervals import overlaps
 from ..operators.merge import merge_associations, merge_trait_result, merge_upload_associations
-from ..operators.ops import closure, distinct_counts
+from ..operators.ops import between_ids, closure, distinct_counts, null_safe_join, union_fill
+from ..sources.upload_store import UploadStore
 
 H4 = 0.8
+#: Bases between a gene and its neighbours at most.
+NEAR = 1_000_000
+#: Group tables with the name of their posting lists.
+_GROUPS = {"coloc_groups": ("coloc", "coloc_group_id"), "rare_results": ("rare", "rare_result_group_id")}
 
 
 @dataclass(frozen=True)
@@ -34,6 +40,8 @@ class Bundle:
     coloc_pairs: DataFrame | None = None
     genes_in_region: DataFrame | None = None
     summary_stats: DataFrame | None = None
+    regions: DataFrame | None = None
+    neighbours: DataFrame | None = None
 
 
 def _ids(values: Sequence, most: int, what: str) -> list:
@@ -84,12 +92,27 @@ def associations(cat: Catalog, variant_ids: Sequence[int], study_ids: Sequence[i
     return cat.associations.filter(F.col("variant_id").isin(list(variant_ids)) & F.col("study_id").isin(list(study_ids)))
 
 
-def _bundle(cat: Catalog, subject: DataFrame, seed: Column, own: DataFrame, include_associations: bool, include_coloc_pairs: bool, h4: float, row_filter: Column | None = None, **more) -> Bundle:
-    coloc, rare = closure(cat.coloc_groups, "coloc_group_id", seed), closure(cat.rare_results, "rare_result_group_id", seed)
+def group_closure(cat: Catalog, table: str, kind: str, ids: Sequence[int] | DataFrame, seed: Column) -> DataFrame:
+    """All rows of every group that a subject is in: of a trait, gene or variant (`kind`) by its id, in a list or the column `id`.
+
+    The groups come from the posting lists, which are in the order of subjects; the table is in buckets of its groups, so that its rows are
+    not shuffled. A catalog without posting lists looks for the groups of the rows that satisfy `seed`.
+    """
+    family, group = _GROUPS[table]
+    if not cat.has_postings:
+        return closure(getattr(cat, table), group, seed)
+    lists = cat.postings.filter((F.col("family") == family) & (F.col("kind") == kind))
+    lists = between_ids(lists, "subject", ids, "id") if isinstance(ids, DataFrame) else lists.filter(F.col("subject").isin(list(ids)))
+    found = lists.select(F.col("grp").alias("_g")).distinct()
+    return getattr(cat, table).join(found, F.col(group) == F.col("_g"), "left_semi")
+
+
+def _bundle(cat: Catalog, subject: DataFrame, kind: str, ids: Sequence[int] | DataFrame, seed: Column, own: DataFrame, include_associations: bool, include_coloc_pairs: bool, h4: float, row_filter: Column | None = None, **more) -> Bundle:
+    coloc, rare = group_closure(cat, "coloc_groups", kind, ids, seed), group_closure(cat, "rare_results", kind, ids, seed)
     if row_filter is not None:
         coloc, own = coloc.filter(row_filter), own.filter(row_filter)
     if include_associations:
-        coloc, rare = merge_associations(coloc, cat.associations), merge_associations(rare, cat.associations)
+        coloc, rare = (merge_associations(rows, cat.associations, keys_first=True) for rows in (coloc, rare))
     pairs = coloc_pairs_of(cat, own, h4) if include_coloc_pairs else None
     return Bundle(subject, coloc, rare, own, coloc_pairs=pairs, **more)
 
@@ -101,7 +124,7 @@ def traits(cat: Catalog, trait_ids: Sequence[int | str], include_associations=Fa
     nums = [int(i) for i in ids if i not in guids]
     seed = F.col("trait_id").isin(nums)
     more = {"full_associations": associations_full(cat, nums)} if include_full_associations else {}
-    out = _bundle(cat, cat.traits.filter(F.col("id").isin(nums)), seed, cat.study_extractions.filter(seed), include_associations, include_coloc_pairs, h4_threshold, **more)
+    out = _bundle(cat, cat.traits.filter(F.col("id").isin(nums)), "trait", nums, seed, cat.study_extractions.filter(seed), include_associations, include_coloc_pairs, h4_threshold, **more)
     for g in guids:
         up = get_upload(cat, g, include_associations, include_coloc_pairs, h4_threshold)
         both = {c: merge_trait_result(getattr(out, c), getattr(up, c)) for c in ("subject", "coloc_groups", "rare_results", "study_extractions", "coloc_pairs", "upload_study_extractions")}
@@ -113,15 +136,34 @@ def trait(cat: Catalog, trait_id: int | str, **options) -> Bundle:
     return traits(cat, [trait_id], **options)
 
 
-def genes(cat: Catalog, gene_ids: Sequence[int | str], include_associations=False, include_coloc_pairs=False, include_trans=True, h4_threshold=H4) -> Bundle:
-    """Up to ten genes by id or symbol, collapsed; without trans effects only cis rows stay."""
+def gene_regions(genes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The LD blocks that each gene lies in: gene_id and the block's row."""
+    return overlaps(genes, blocks).select(F.col("left.id").alias("gene_id"), "right.*")
+
+
+def gene_neighbours(genes: DataFrame, among: DataFrame, near: int = NEAR) -> DataFrame:
+    """Pairs of a gene and another one that is at most `near` bases from it, on either side or overlapping: gene_id, the other's row, distance."""
+    around = genes.withColumns({"start_bp": F.greatest(F.col("start_bp") - near, F.lit(0)), "stop_bp": F.col("stop_bp") + near, "_start": F.col("start_bp"), "_stop": F.col("stop_bp")})
+    gap = F.greatest(F.lit(0), F.col("right.start_bp") - F.col("left._stop"), F.col("left._start") - F.col("right.stop_bp"))
+    pairs = overlaps(around, among).filter(F.col("left.id") != F.col("right.id"))
+    return pairs.select(F.col("left.id").alias("gene_id"), "right.*", gap.alias("distance"))
+
+
+def genes(cat: Catalog, gene_ids: Sequence[int | str], include_associations=False, include_coloc_pairs=False, include_trans=True, h4_threshold=H4, near: int = NEAR) -> Bundle:
+    """Up to ten genes by id or symbol, collapsed; without trans effects only cis rows stay. A symbol is looked up in the genes.
+
+    `regions` are the LD blocks that a gene lies in, `neighbours` the genes at most `near` bases from it (each with its gene_id).
+    """
     ids = _ids(gene_ids, 10, "genes")
     nums, names = [i for i in ids if isinstance(i, int)], [i for i in ids if isinstance(i, str)]
+    subject = cat.genes.filter(F.col("id").isin(nums) | F.col("gene").isin(names))
+    keys = subject.select("id") if names else nums
     seed = F.col("gene_id").isin(nums) | F.col("gene").isin(names)
     cis = None if include_trans else F.col("cis_trans") == "cis"
-    own = cat.study_extractions.filter(seed)
+    rows = cat.by("study_extractions", "gene_id")
+    own = between_ids(rows, "gene_id", keys, "id") if names else rows.filter(F.col("gene_id").isin(nums))
     variants = cat.variants.join(own.select(F.col("variant_id").alias("_v")).distinct(), F.col("id") == F.col("_v"), "left_semi")
-    return _bundle(cat, cat.genes.filter(F.col("id").isin(nums) | F.col("gene").isin(names)), seed, own, include_associations, include_coloc_pairs, h4_threshold, cis, variants=variants)
+    return _bundle(cat, subject, "gene", keys, seed, own, include_associations, include_coloc_pairs, h4_threshold, cis, variants=variants, regions=gene_regions(subject, cat.ld_blocks), neighbours=gene_neighbours(subject, cat.genes, near))
 
 
 def gene(cat: Catalog, gene_id: int | str, **options) -> Bundle:
@@ -143,11 +185,16 @@ def variants(cat: Catalog, ids: Sequence[int | str], expand=False, include_assoc
     rows = resolve_variants(cat, ids)
     if not expand:
         return rows
-    v = rows.select(F.col("id").alias("_v")).distinct()
-    at = lambda df: df.join(v, F.col("variant_id") == F.col("_v"), "left_semi")
-    own, coloc, rare = at(cat.study_extractions), at(cat.coloc_groups), at(cat.rare_results)
+    nums = [int(i) for i in ids if isinstance(i, int) or str(i).isdigit()]
+    known = len(nums) == len(ids)  # else the smallest and largest id are looked up when the files are read
+
+    def at(name: str) -> DataFrame:
+        table = cat.by(name, "variant_id")
+        return table.filter(F.col("variant_id").isin(nums)) if known else between_ids(table, "variant_id", rows, "id")
+
+    own, coloc, rare = at("study_extractions"), at("coloc_groups"), at("rare_results")
     if include_associations:
-        coloc, rare = merge_associations(coloc, cat.associations), merge_associations(rare, cat.associations)
+        coloc, rare = (merge_associations(x, at("associations"), keys_first=True) for x in (coloc, rare))
     stats = cat.summary_stats.join(own.select("study_id").distinct(), "study_id", "left_semi") if include_summary_stats else None
     return Bundle(rows, coloc, rare, own, coloc_pairs=coloc_pairs_of(cat, own, h4_threshold) if include_coloc_pairs else None, summary_stats=stats)
 
@@ -162,15 +209,23 @@ def variants_grange(cat: Catalog, chr: str, start: int, stop: int) -> DataFrame:
     return cat.variants.filter((F.col("chr") == str(chr)) & F.col("bp").between(start, stop))
 
 
+def genes_with_extractions(cat: Catalog, region_id: int) -> DataFrame:
+    """Genes that have an extraction in an LD block."""
+    own = cat.by("study_extractions", "ld_block_id").filter(F.col("ld_block_id") == region_id)
+    return cat.genes.join(own.select(F.col("gene_id").alias("_g")).distinct(), F.col("id") == F.col("_g"), "left_semi")
+
+
 def region(cat: Catalog, region_id: int, include_associations=False, include_coloc_pairs=False, h4_threshold=H4) -> Bundle:
-    """All components of an LD block; its genes are those with an extraction in it."""
-    seed = F.col("ld_block_id") == _ids([region_id], 1, "region")[0]
-    own = cat.study_extractions.filter(seed)
-    inside = cat.genes.join(own.select(F.col("gene_id").alias("_g")).distinct(), F.col("id") == F.col("_g"), "left_semi")
+    """All components of an LD block; its genes are those that overlap what its variants span, with or without an extraction."""
+    block = _ids([region_id], 1, "region")[0]
+    seed = F.col("ld_block_id") == block
+    own, inside = cat.by("study_extractions", "ld_block_id").filter(seed), cat.variants.filter(seed)
+    span = inside.groupBy("chr").agg(F.min("bp").alias("start_bp"), F.max("bp").alias("stop_bp"))
+    genes = overlaps(cat.genes, span).select("left.*")
     coloc, rare = cat.coloc_groups.filter(seed), cat.rare_results.filter(seed)
     if include_associations:
-        coloc, rare = merge_associations(coloc, cat.associations), merge_associations(rare, cat.associations)
-    return Bundle(own.select("ld_block_id").distinct(), coloc, rare, own, cat.variants.filter(seed), coloc_pairs=coloc_pairs_of(cat, own, h4_threshold) if include_coloc_pairs else None, genes_in_region=inside)
+        coloc, rare = (merge_associations(rows, cat.associations, keys_first=True) for rows in (coloc, rare))
+    return Bundle(own.select("ld_block_id").distinct(), coloc, rare, own, inside, coloc_pairs=coloc_pairs_of(cat, own, h4_threshold) if include_coloc_pairs else None, genes_in_region=genes)
 
 
 def ld_proxies(cat: Catalog, ids: Sequence[int | str]) -> DataFrame:
@@ -210,9 +265,13 @@ def variant_pleiotropy(cat: Catalog) -> DataFrame:
     return rows.groupBy("variant_id", "display_snp").agg(F.countDistinct("trait_category").alias("distinct_trait_categories"), F.countDistinct("coding_id").alias("distinct_protein_coding_genes"))
 
 
-def get_upload(cat: Catalog, guid: str, include_associations=False, include_coloc_pairs=False, h4_threshold=H4, include_summary_stats=False) -> Bundle:
+def get_upload(cat: Catalog, guid: str, include_associations=False, include_coloc_pairs=False, h4_threshold=H4, include_summary_stats=False, store: UploadStore | None = None) -> Bundle:
     """An uploaded study by GUID: its groups, the rare results and extractions of the studies that they are shared with, its own
-    extractions (`upload_study_extractions`), pairs, and statistics of those studies if asked for."""
+    extractions (`upload_study_extractions`), pairs, and statistics of those studies if asked for.
+
+    With a store, what was uploaded there is part of it: the record in `subject`, the leads in `upload_study_extractions`, and all its rows
+    in `full_associations` if associations are asked for.
+    """
     if not isinstance(guid, str) or not re.match(GUID, guid):
         raise ValueError("not a GUID")
     up = cat.uploads.filter(F.col("guid") == guid)
@@ -224,6 +283,10 @@ def get_upload(cat: Catalog, guid: str, include_associations=False, include_colo
     pairs = coloc_pairs_of(cat, extractions, h4_threshold) if include_coloc_pairs else None
     stats = cat.summary_stats.join(shared.select(F.col("_s").alias("study_id")).distinct(), "study_id", "left_semi") if include_summary_stats else None
     if include_associations:
-        assoc = cat.associations.withColumn("existing_study_id", F.col("study_id"))
-        rows, rare = merge_upload_associations(rows, assoc), merge_associations(rare, cat.associations)
-    return Bundle(up, rows, rare, extractions, upload_study_extractions=own, coloc_pairs=pairs, summary_stats=stats)
+        near = null_safe_join(cat.associations, shared.select(F.col("_s").alias("study_id"), F.col("_v").alias("variant_id")), ["study_id", "variant_id"], "left_semi")
+        rows, rare = merge_upload_associations(rows, near.withColumn("existing_study_id", F.col("study_id"))), merge_associations(rare, near)
+    full = None
+    if store is not None:
+        up, staged = union_fill(up, store.records().filter(F.col("guid") == guid)), store.rows(guid)
+        own, full = union_fill(own, staged.filter("is_lead")), staged if include_associations else None
+    return Bundle(up, rows, rare, extractions, upload_study_extractions=own, coloc_pairs=pairs, summary_stats=stats, full_associations=full)

@@ -11,9 +11,12 @@ from .catalog import Catalog
 from .functions import cluster
 from .functions.scalars import is_guid, source_url
 from .operators import merge
+from .operators.intervals import overlaps
+from .operators.ops import distinct_counts
 from .plans import analyses as A, lookups as L, search as S
 from .sources import bed, formats, uploads
-from .storage import shared_dir
+from .sources.upload_store import UploadStore
+from .storage import fresh_path, shared_dir
 
 #: Subjects of the registered queries: ids of the bed.
 ANCHOR, OTHER, GENE, VARIANT, BLOCK, GENE_NAME = 5, 55, 3, 7, 4, "Supplier#000000003"
@@ -102,7 +105,17 @@ _component("variants_expanded", lambda cat: L.variants(cat, [VARIANT, 20], expan
 _UPLOAD = """u AS (SELECT c.* FROM b_upload_coloc_groups c JOIN b_uploads b ON c.gwas_upload_id = b.upload_id WHERE b.guid IN (SELECT min(guid) FROM b_uploads)),
     k AS (SELECT DISTINCT coalesce(study_id, existing_study_id) AS s, variant_id AS v FROM u WHERE coalesce(study_id, existing_study_id) IS NOT NULL)"""
 _upload = lambda cat, **options: L.get_upload(cat, cat.uploads.agg(F.min("guid")).first()[0], **options)
-_component("upload_rare", lambda cat: _rare(_upload(cat)), f"WITH {_UPLOAD} SELECT {_RARE} FROM b_rare_results JOIN k ON study_id = s AND variant_id = v")
+_RICH = """b.guid IN (SELECT min(x.guid) FROM b_uploads x JOIN b_upload_coloc_groups y ON y.gwas_upload_id = x.upload_id JOIN b_rare_results z
+    ON z.study_id = coalesce(y.study_id, y.existing_study_id) AND z.variant_id = y.variant_id)"""
+
+
+def _rich(cat: Catalog) -> str:
+    """The first upload that shares a study and variant with a rare result."""
+    rows = cat.upload_coloc_groups.select(F.coalesce("study_id", "existing_study_id").alias("study_id"), "variant_id", F.col("gwas_upload_id").alias("upload_id"))
+    return rows.join(cat.rare_results, ["study_id", "variant_id"], "left_semi").join(cat.uploads, "upload_id").agg(F.min("guid")).first()[0]
+
+
+_component("upload_rare", lambda cat: _rare(L.get_upload(cat, _rich(cat))), f"WITH {_UPLOAD.replace('b.guid IN (SELECT min(guid) FROM b_uploads)', _RICH)} SELECT {_RARE} FROM b_rare_results JOIN k ON study_id = s AND variant_id = v")
 _component("upload_extractions", lambda cat: _ext(_upload(cat)), f"WITH {_UPLOAD} SELECT {_EXT} FROM b_study_extractions JOIN k ON study_id = s AND variant_id = v")
 _component("upload_summary_stats", lambda cat: _upload(cat, include_summary_stats=True).summary_stats, f"WITH {_UPLOAD} SELECT * FROM b_summary_stats WHERE study_id IN (SELECT s FROM k)")
 _component("traits_with_upload", lambda cat: _ext(L.traits(cat, [ANCHOR, cat.uploads.agg(F.min("guid")).first()[0]])), f"WITH {_UPLOAD} SELECT {_EXT} FROM b_study_extractions WHERE trait_id = {ANCHOR} UNION ALL SELECT {_EXT} FROM b_study_extractions JOIN k ON study_id = s AND variant_id = v")
@@ -204,9 +217,48 @@ def q_variants_grange(cat):
 
 @query(f"SELECT * FROM b_genes WHERE id IN (SELECT gene_id FROM b_study_extractions WHERE ld_block_id = {BLOCK})")
 def q_region_lookup(cat):
+    return L.genes_with_extractions(cat, BLOCK)
+
+
+@query(f"""WITH span AS (SELECT chr, min(bp) AS a, max(bp) AS b FROM b_variants WHERE ld_block_id = {BLOCK} GROUP BY 1)
+    SELECT g.* FROM b_genes g JOIN span s ON g.chr = s.chr AND g.start_bp <= s.b AND s.a <= g.stop_bp""")
+def q_region_genes(cat):
     return L.region(cat, BLOCK).genes_in_region
 
 
+#: Bases between neighbours in the registered queries.
+_NEAR = 20_000
+
+
+@query(f"""SELECT a.id AS gene_id, b.*, greatest(0, b.start_bp - a.stop_bp, a.start_bp - b.stop_bp) AS distance
+    FROM b_genes a JOIN b_genes b ON a.chr = b.chr AND a.id <> b.id AND b.start_bp <= a.stop_bp + {_NEAR} AND b.stop_bp >= greatest(a.start_bp - {_NEAR}, 0)""")
+def q_gene_neighbours(cat):
+    """Of all genes."""
+    return L.gene_neighbours(cat.genes, cat.genes, _NEAR)
+
+
+@query("SELECT g.id AS gene_id, b.* FROM b_genes g JOIN b_ld_blocks b ON g.chr = b.chr AND g.start_bp <= b.stop_bp AND b.start_bp <= g.stop_bp")
+def q_gene_regions(cat):
+    """Of all genes."""
+    return L.gene_regions(cat.genes, cat.ld_blocks)
+
+
+@query("""SELECT b.id AS block_id, v.id AS variant_id, g.id AS gene_id FROM b_ld_blocks b JOIN b_genes g ON g.chr = b.chr AND g.start_bp <= b.stop_bp + 200000 AND b.start_bp <= g.stop_bp + 200000
+    JOIN b_variants v ON v.chr = b.chr AND v.bp BETWEEN b.start_bp AND b.stop_bp""")
+def q_block_overlaps(cat):
+    """All blocks with the variants inside them and the genes at most 200,000 bases from them: intervals of very different sizes."""
+    places = cat.variants.select("chr", F.col("id").alias("variant_id"), F.col("bp").alias("start_bp"), F.col("bp").alias("stop_bp"))
+    wide = cat.genes.withColumns({"start_bp": F.greatest(F.col("start_bp") - 200_000, F.lit(0)), "stop_bp": F.col("stop_bp") + 200_000})
+    inside = overlaps(cat.ld_blocks, places).select(F.col("left.id").alias("block_id"), "right.variant_id")
+    near = overlaps(cat.ld_blocks, wide).select(F.col("left.id").alias("block_id"), F.col("right.id").alias("gene_id"))
+    return inside.join(near, "block_id")
+
+
+@query("SELECT family, kind, subject, grp FROM b_postings")
+def q_postings(cat):
+    return cat.postings
+
+
 @query(f"SELECT * FROM b_ld WHERE lead_variant_id IN ({VARIANT}, 20)")
 def q_ld_proxies(cat):
     return L.ld_proxies(cat, [VARIANT, "rs20"])
@@ -289,6 +341,35 @@ def q_upload_normalise(cat):
     return uploads.upload_normalise(raw, names, 5e-6).select("snp", "chr", "bp", "beta", "se", "p", "ld_block", "is_lead")
 
 
+#: An upload of all statistics whose SNP column is not mapped, and places that many rows share, in the LD blocks that the bed has.
+_STAGED = """n AS (SELECT study_id, chr, (bp * 97) % 1000003 // 1000 * 1000 AS bp, beta, se, abs(lbf_1) * 1.0e-7 AS p FROM b_summary_stats),
+    k AS (SELECT n.*, b.id AS ld_block FROM n ASOF LEFT JOIN b_ld_blocks b ON n.chr = b.chr AND n.bp >= b.start_bp WHERE p <= 5.0e-6),
+    l AS (SELECT *, ld_block IS NOT NULL AND row_number() OVER (PARTITION BY ld_block ORDER BY p, bp, beta, se) = 1 AS is_lead FROM k)"""
+
+
+def _raw_upload(cat) -> DataFrame:
+    place = F.floor(((F.col("bp") * 97) % 1000003) / 1000) * 1000
+    return cat.summary_stats.select("chr", place.alias("bp"), F.lit("A").alias("ea"), F.lit("C").alias("oa"), "beta", "se", (F.abs("lbf_1") * 1e-7).alias("p"))
+
+
+_MAPPED = {"CHR": "chr", "BP": "bp", "EA": "ea", "OA": "oa", "BETA": "beta", "SE": "se", "P": "p"}
+
+
+@query(f"WITH {_STAGED} SELECT chr, bp, beta, se, p, ld_block, is_lead FROM l")
+def q_upload_leads(cat):
+    return uploads.upload_normalise(_raw_upload(cat), _MAPPED, 5e-6, blocks=cat.ld_blocks).select("chr", "bp", "beta", "se", "p", "ld_block", "is_lead")
+
+
+@query(f"WITH {_STAGED} SELECT '0123abcd-0123-4567-89ab-0123456789ab' AS guid, chr, bp, beta, se, p, CAST(ld_block AS varchar) AS ld_block FROM l WHERE is_lead")
+def q_upload_fetched(cat):
+    """The upload committed to a store, twice, and fetched again by its GUID: its leads."""
+    guid, store = "0123abcd-0123-4567-89ab-0123456789ab", UploadStore(cat.spark, fresh_path(cat.spark, "uploads"))
+    for _ in range(2):
+        store.upload(_raw_upload(cat), _MAPPED, "study", "a@b", 1000, guid, 5e-6, blocks=cat.ld_blocks)
+    found = L.get_upload(cat, guid, store=store).upload_study_extractions
+    return found.filter(F.col("guid") == guid).select("guid", "chr", "bp", "beta", "se", "p", "ld_block")
+
+
 @query(f"WITH {_FIRST} SELECT {', '.join('c.' + c for c in _COLS)}, f.beta, f.se, f.p, f.eaf, f.imputed FROM b_coloc_groups c LEFT JOIN first f ON c.study_id = f.study_id AND c.variant_id = f.variant_id")
 def q_merge_associations(cat):
     return merge.merge_associations(cat.coloc_groups, cat.associations).select(*_COLS, "beta", "se", "p", "eaf", "imputed")
@@ -438,7 +519,8 @@ _PROP = f"""WITH n AS (SELECT trait_id, count(*) AS n_colocs FROM b_coloc_groups
 
 
 def _proportion(cat):
-    return A.category_proportion(cat.coloc_groups, L.all_traits(cat), ANCHOR)
+    hits = distinct_counts(["trait_id"], (cat.study_extractions, {"id": "num_study_extractions"})).withColumnRenamed("trait_id", "id")
+    return A.category_proportion(cat.coloc_groups, hits, ANCHOR)
 
 
 @query(_PROP + """ SELECT trait_id, n_colocs, n_studyhits, trait_category, round(prop_colocing_hits, 9) AS prop_colocing_hits, colocs_cut,

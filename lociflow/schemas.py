@@ -17,6 +17,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "traits": _schema(id=_L, trait_name=_S, trait_category=_S, data_type=_S, sample_size=_I, category=_S),
     "genes": _schema(id=_L, gene=_S, ensembl_id=_S, chr=_S, start_bp=_L, stop_bp=_L, gene_biotype=_S),
     "variants": _schema(id=_L, snp=_S, display_snp=_S, chr=_S, bp=_L, ld_block_id=_L),
+    "ld_blocks": _schema(id=_L, chr=_S, start_bp=_L, stop_bp=_L),
     "study_extractions": _schema(id=_L, snp=_S, cis_trans=_S, **{k: v for k, v in _ROW.items() if k != "study_extraction_id"}),
     "coloc_groups": _schema(coloc_group_id=_L, snp=_S, cis_trans=_S, **_ROW),
     "rare_results": _schema(rare_result_group_id=_L, snp=_S, **_ROW),
@@ -25,6 +26,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "ld": _schema(lead_variant_id=_L, proxy_variant_id=_L, ld_block_id=_L, r=_D),
     "search_terms": _schema(type=_S, name=_S, alt_name=_S, type_id=_S, sample_size=_I),
     "summary_stats": _schema(study_id=_L, snp=_S, chr=_S, bp=_L, se=_D, lbf_1=_D, beta=_D),
+    "postings": _schema(family=_S, kind=_S, subject=_L, grp=_L),
     "uploads": _schema(upload_id=_L, guid=_S, name=_S),
     "upload_coloc_groups": _schema(coloc_group_id=_L, gwas_upload_id=_L, study_id=_L, existing_study_id=_L, variant_id=_L, trait_id=_L, ord=_L),
 }

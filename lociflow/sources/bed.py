@@ -12,6 +12,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import SCHEMAS, normalise
 from ..storage import shared_dir
@@ -36,6 +37,9 @@ BED: dict[str, str] = {
         SELECT c_custkey AS id, concat('rs', CAST(c_custkey AS varchar(20))) AS snp, c_name AS display_snp,
                CAST(c_nationkey + 1 AS varchar(20)) AS chr, (c_custkey * 1009) % 1000003 AS bp, c_nationkey AS ld_block_id
         FROM customer""",
+    "b_ld_blocks": """
+        SELECT CAST(chr AS bigint) * 100 + CAST(floor(bp / 250000.0e0) AS bigint) AS id, chr, min(bp) AS start_bp, max(bp) AS stop_bp
+        FROM b_variants GROUP BY chr, CAST(floor(bp / 250000.0e0) AS bigint)""",
     "b_rows": """
         SELECT l_orderkey AS grp,
                l_orderkey * 10000000000 + l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS study_extraction_id,
@@ -92,6 +96,16 @@ BED: dict[str, str] = {
                CASE WHEN ln % 3 = 1 THEN r.study_id END AS existing_study_id, r.variant_id, r.trait_id,
                r.study_extraction_id AS ord
         FROM b_rows r JOIN b_uploads u ON r.grp = u.upload_id""",
+    # Posting lists of the groups: which a subject has rows in.
+    "b_postings": """
+        SELECT DISTINCT 'coloc' AS family, kind, subject, grp FROM (
+          SELECT 'trait' AS kind, trait_id AS subject, coloc_group_id AS grp FROM b_coloc_groups
+          UNION ALL SELECT 'gene', gene_id, coloc_group_id FROM b_coloc_groups
+          UNION ALL SELECT 'variant', variant_id, coloc_group_id FROM b_coloc_groups) x WHERE subject IS NOT NULL AND grp IS NOT NULL
+        UNION ALL SELECT DISTINCT 'rare', kind, subject, grp FROM (
+          SELECT 'trait' AS kind, trait_id AS subject, rare_result_group_id AS grp FROM b_rare_results
+          UNION ALL SELECT 'gene', gene_id, rare_result_group_id FROM b_rare_results
+          UNION ALL SELECT 'variant', variant_id, rare_result_group_id FROM b_rare_results) y WHERE subject IS NOT NULL AND grp IS NOT NULL""",
 }
 
 
@@ -118,13 +132,22 @@ def oracle(text: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
-#: How the stored tables are laid out: range-partitioned and sorted by what lookups and joins ask for, so that files and row groups are skipped.
-LAYOUT = {"variants": ("chr", "bp"), "study_extractions": ("trait_id", "id"), "coloc_groups": ("coloc_group_id",), "rare_results": ("rare_result_group_id",), "associations": ("study_id", "variant_id"), "coloc_pairs": ("study_extraction_a_id",), "ld": ("lead_variant_id",), "summary_stats": ("study_id", "chr", "bp")}
+
+#: How the stored tables are laid out: range-partitioned and sorted by what lookups ask for, so that files and row groups are skipped.
+LAYOUT = {"variants": ("chr", "bp"), "study_extractions": ("trait_id", "id"), "postings": ("family", "kind", "subject"), "associations": ("study_id", "variant_id"), "coloc_pairs": ("study_extraction_a_id",), "ld": ("lead_variant_id",), "summary_stats": ("study_id", "chr", "bp")}
+#: Second copies in another order: of a table, by the column that they are asked by.
+COPIES = {"associations": {"variant_id": ("variant_id", "study_id")}, "study_extractions": {c: (c, "id") for c in ("gene_id", "variant_id", "ld_block_id")}}
+#: Tables in buckets of a column, about ROWS rows a bucket: joins and closures on it shuffle the other side only.
+BUCKETS, ROWS, LEAST = {"coloc_groups": "coloc_group_id", "rare_results": "rare_result_group_id"}, 1_000_000, 8
 _STORED: dict[tuple[str, str], str] = {}
+_SEEN: dict[tuple[str, str], str] = {}
 
 
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Of the source files' paths, lengths and times."""
+    """Of the source files' paths, lengths and times, listed once for a session."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known in _SEEN:
+        return _SEEN[known]
     jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
     for t in RAW:
         at = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
@@ -132,7 +155,28 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
         while files.hasNext():
             f = files.next()
             seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return hashlib.md5(repr(sorted(seen)).encode()).hexdigest()
+    _SEEN[known] = hashlib.md5(repr(sorted(seen)).encode()).hexdigest()
+    return _SEEN[known]
+
+
+def bucket_table(path: str) -> str:
+    """The session's name for a table in buckets, which Spark knows by its catalog, not by its files."""
+    return f"lociflow_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def store_buckets(frame: DataFrame, path: str, column: str, n: int) -> None:
+    """Writes a table of `n` buckets, a file each."""
+    dealt = frame.repartition(n, column).sortWithinPartitions(column)
+    dealt.write.bucketBy(n, column).sortBy(column).option("path", path).format("parquet").saveAsTable(bucket_table(path))
+
+
+def open_buckets(spark: SparkSession, path: str, schema: StructType, column: str, n: int) -> DataFrame:
+    """A table in buckets; a session that did not write it is told of its buckets first."""
+    name = bucket_table(path)
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({column}) SORTED BY ({column}) INTO {n} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
 
 
 def stored(spark: SparkSession, sf_dir: str, version: str) -> str:
@@ -145,15 +189,22 @@ def stored(spark: SparkSession, sf_dir: str, version: str) -> str:
     if key not in _STORED:
         root = f"{shared_dir(spark)}/tables-{key[1]}-{uuid.uuid4().hex}"
         schemas = {}
+        buckets = {}
         for name in (n.removeprefix("b_") for n in BED):
             frame = table(spark, sf_dir, name, root)
             if name in SCHEMAS:
                 frame = normalise(frame, name)
-            if order := LAYOUT.get(name):
-                frame = frame.repartitionByRange(*order).sortWithinPartitions(*order)
-            frame.write.parquet(f"{root}/{name}.parquet")
             schemas[name] = frame.schema.jsonValue()
-        spark.range(1).select(F.lit(json.dumps({"version": version, "tables": schemas, "normal": [n for n in schemas if n in SCHEMAS]})).alias("value")).write.text(f"{root}/manifest.json")
+            if name in BUCKETS:
+                buckets[name] = [BUCKETS[name], max(LEAST, frame.count() // ROWS)]
+                store_buckets(frame, f"{root}/{name}.parquet", *buckets[name])
+                continue
+            for order, path in ((LAYOUT.get(name), name), *((o, f"{name}_by_{c}") for c, o in COPIES.get(name, {}).items())):
+                laid = frame.repartitionByRange(*order).sortWithinPartitions(*order) if order else frame
+                laid.write.parquet(f"{root}/{path}.parquet")
+        copies = {t: sorted(c) for t, c in COPIES.items()}
+        manifest = {"version": version, "tables": schemas, "normal": [n for n in schemas if n in SCHEMAS], "copies": copies, "buckets": buckets}
+        spark.range(1).select(F.lit(json.dumps(manifest)).alias("value")).write.text(f"{root}/manifest.json")
         _STORED[key] = root
     return _STORED[key]
 

@@ -7,7 +7,7 @@ import io
 import zipfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 STATS = T.StructType([T.StructField(n, T.StringType()) for n in ("SNP", "CHR")] + [T.StructField("BP", T.LongType())] + [T.StructField(n, T.StringType()) for n in ("EA", "OA")] + [T.StructField(n, T.DoubleType()) for n in ("EAF", "Z", "BETA", "SE", "P")] + [T.StructField("imputed", T.BooleanType())] + [T.StructField(f"LBF_{i}", T.DoubleType()) for i in range(1, 11)])
 
@@ -28,17 +28,36 @@ def write_stats(stats: DataFrame, path: str) -> None:
     stats.select("study_id", *columns).hint("rebalance", "study_id").write.partitionBy("study_id").option("sep", "\t").option("header", True).option("nullValue", "NA").option("emptyValue", "").option("compression", "gzip").csv(path)
 
 
-def read_stats(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def arrival(df: DataFrame) -> DataFrame:
+    """A frame read from files, with `ord`: the place of each row in the files by path, from 0, without gaps.
+
+    A task reads the rows of a piece of a file in their order, so that a row's place is its place in the piece, and the number of rows in
+    the pieces before it: of all files by path, and of a file by the piece's start. The numbers do not depend on how files are cut or dealt
+    to tasks; counting the pieces reads the files once more, without their columns.
+    """
+    mark = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    pieces = mark.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    files = pieces.groupBy("_file").agg(F.sum("_n").alias("_rows"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("_file", before("_rows", Window.orderBy("_file")).alias("_past"))  # a row a file
+    pieces = pieces.select("_file", "_block", (before("_n", Window.partitionBy("_file").orderBy("_block")) - F.col("_first")).alias("_shift"))
+    out = mark.join(pieces.join(files, "_file"), ["_file", "_block"])
+    return out.select(*df.columns, (F.col("_at") + F.col("_shift") + F.col("_past")).alias("ord"))
+
+
+def read_stats(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False) -> DataFrame:
     """`*.tsv.gz` files with a header that may miss columns; NA is null, names are lower-cased.
 
-    study_id is the folder's where files lie in folders `study_id=<id>`, else the file's base name without `_with_lbfs`.
+    study_id is the folder's where files lie in folders `study_id=<id>`, else the file's base name without `_with_lbfs`. `ordered` adds
+    `ord`, the order of arrival (see `arrival`), which keep-first operators need.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_with_lbfs)?\.[^.]+\.[^.]+$", 1)
     raw = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("nullValue", "NA").csv(paths)
     raw = raw.withColumn("study_id", F.col("study_id").cast("string")) if "study_id" in raw.columns else raw.select("*", name.alias("study_id"))
+    raw = arrival(raw) if ordered else raw
     have = {c.lower(): c for c in raw.columns}
-    return raw.select("study_id", *((F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name.lower()) for f in STATS.fields))
+    return raw.select("study_id", *(["ord"] if ordered else []), *((F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name.lower()) for f in STATS.fields))
 
 
 def read_stats_zip(spark: SparkSession, path: str) -> DataFrame:

@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import GUID
-from ..operators.ops import lead_per_group
+from ..operators.intervals import as_of
+from ..operators.ops import mark_first
 
 MAX_BYTES = 1 << 30
 CATEGORIES, ANCESTRIES, BUILDS = ("continuous", "categorical"), ("EUR",), ("GRCh37", "GRCh38")
@@ -38,26 +39,30 @@ def check_upload(name: str, p_value_threshold: float = 5e-8, category: str = "co
             raise ValueError(what)
 
 
-def upload_normalise(raw: DataFrame, column_names: dict[str, str], p_value_threshold: float = 5e-8, block: Column | None = None) -> DataFrame:
-    """Canonical columns by the caller's mapping, rows up to the threshold, and whether a row leads its LD block.
+def upload_normalise(raw: DataFrame, column_names: dict[str, str], p_value_threshold: float = 5e-8, block: Column | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Canonical columns by the caller's mapping, rows up to the threshold, their LD block, and whether a row leads it.
+
+    `blocks` (chr, start_bp, id) gives the LD blocks by their starts: a row is in the last that starts at or before it on its chromosome.
+    Without them `block` is an expression over the canonical columns, or else a block is a million bases of a chromosome. A row without a
+    chromosome or place, or before the first start, has no block and leads none. The lead is the row of smallest p, then place and
+    alleles: one row a block, whether SNP is mapped, repeats or not. The mapping must have P and what a block is made of (CHR, BP), and
+    effects by both of BETA and SE, or by OR, LB and UB, or none; `check_columns` asks for what an upload needs.
 
     Without BETA and SE they come from the odds ratio: ln OR, and the width of its interval's logarithm over twice 1.96. An odds ratio or
     a bound that is not above 0 gives null.
     """
+    given = [c for c in ("BETA", "SE", *ODDS) if column_names.get(c)]
+    if not column_names.get("P") or any(0 < len([c for c in kind if c in given]) < len(kind) for kind in (("BETA", "SE"), ODDS)):
+        raise ValueError("P, and both of BETA and SE or all of OR, LB and UB")
     kinds = {"BP": "bigint", **dict.fromkeys(("EAF", "BETA", "SE", "P", *ODDS), "double")}
     of = lambda c: (F.col(f"`{column_names[c]}`") if column_names.get(c) else F.lit(None)).cast(kinds.get(c, "string"))
     log = lambda c: F.when(of(c) > 0, F.log(of(c)))
     values = {c: of(c) for c in COLUMNS}
-    if not all(column_names.get(c) for c in ("BETA", "SE")) and all(column_names.get(c) for c in ODDS):
+    if "BETA" not in given and "OR" in given:
         values |= {"BETA": log("OR"), "SE": (log("UB") - log("LB")) / (2 * Z95)}
-    out = raw.select(*(v.alias(c.lower()) for c, v in values.items()))
-    out = out.filter(F.col("p") <= p_value_threshold).withColumn("ld_block", F.concat_ws(":", "chr", F.floor(F.col("bp") / 1_000_000).cast("string")) if block is None else block)
-    lead = lead_per_group(out, ["ld_block"], ["p", "bp", "snp"]).select("ld_block", F.col("snp").alias("lead_snp"))
-    return out.join(lead, "ld_block", "left").withColumn("is_lead", F.col("snp").eqNullSafe(F.col("lead_snp"))).drop("lead_snp")
-
-
-def stage_upload(df: DataFrame, root: str, guid: str) -> None:
-    """Writes a normalised upload as its partition of the staged table; a repeated write replaces it."""
-    if not re.match(GUID, guid or ""):
-        raise ValueError("not a GUID")
-    df.write.mode("overwrite").parquet(f"{root}/uploads/guid={guid}")
+    out = raw.select(*(v.alias(c.lower()) for c, v in values.items())).filter(F.col("p") <= p_value_threshold)
+    if blocks is not None:
+        out = as_of(out, blocks.select("chr", "start_bp", F.col("id").alias("ld_block")), "chr", "bp", "start_bp", ["ld_block"])
+    else:
+        out = out.withColumn("ld_block", F.concat("chr", F.lit(":"), F.floor(F.col("bp") / 1_000_000).cast("string")) if block is None else block)
+    return mark_first(out, ["ld_block"], ["p", "bp", "chr", "snp", "ea", "oa", "beta", "se", "eaf"], "is_lead")

@@ -17,6 +17,7 @@ from lociflow.operators.merge import merge_trait_result, merge_upload_associatio
 from lociflow.operators.ops import distinct_counts, solo_filter
 from lociflow.plans import lookups, search
 from lociflow.sources import bed, formats, uploads
+from lociflow.sources.upload_store import UploadStore
 from lociflow.streaming import ingest
 
 SF = f"{DATA}/sf0.001"
@@ -117,12 +118,13 @@ def test_upload_of_odds_ratios(spark, tmp_path):
     out = uploads.upload_normalise(raw, {"CHR": "c", "BP": "b", "OR": "o.r", "LB": "l", "UB": "u", "P": "p"}).orderBy("bp").collect()
     assert len(out) == 2 and math.isclose(out[0]["beta"], math.log(1.5)) and math.isclose(out[0]["se"], (math.log(1.875) - math.log(1.2)) / 3.92) and out[1]["beta"] is None
     df = uploads.upload_normalise(raw, {"CHR": "c", "BP": "b", "OR": "o.r", "LB": "l", "UB": "u", "P": "p"})
+    store = UploadStore(spark, f"file://{tmp_path}")
     for _ in range(2):
-        uploads.stage_upload(df, str(tmp_path), GUID)
-    got = spark.read.parquet(str(tmp_path / "uploads"))
+        store.write(GUID, df.withColumn("guid", F.lit(GUID)), [{"guid": GUID}])
+    got = store.rows(GUID)
     assert got.count() == 2 and got.first()["guid"] == GUID
     with pytest.raises(ValueError):
-        uploads.stage_upload(df, str(tmp_path), "x")
+        store.upload(raw, {"CHR": "c", "BP": "b", "EA": "c", "OA": "c", "OR": "o.r", "LB": "l", "UB": "u", "P": "p"}, "n", "a@b", 10, "x")
 
 
 def test_ids_and_bundles(cat):
