@@ -37,6 +37,12 @@ def usable(v):
     return v.isNotNull() & (F.size(v) > 0) & ok & F.exists(v, lambda x: x != 0)
 
 
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, so that their largest component is about 1: cosines stay the same to the bit, and no product of components
+    is lost at the ends of the range of doubles."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+
+
 def axes(sample: np.ndarray) -> np.ndarray:
     """Orthonormal axes, the one of largest variance first."""
     x = sample - sample.mean(0)
@@ -45,6 +51,7 @@ def axes(sample: np.ndarray) -> np.ndarray:
 
 def links(home: np.ndarray, other: np.ndarray, basis: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of pairs (home, other) of cosine >= t, exact in double precision; rows are original vectors."""
+    home, other = scaled(home), scaled(other)
     a, b = home / np.linalg.norm(home, axis=1)[:, None], other / np.linalg.norm(other, axis=1)[:, None]
     p, q, d, slack = a @ basis, b @ basis, home.shape[1], 1e-9
     steps = [s for s in STEPS if s < d] or [d]
@@ -108,7 +115,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         by_size.setdefault(len(x), []).append(x)
     bases = {}
     for d, xs in by_size.items():
-        m = np.array(xs)
+        m = scaled(np.array(xs))
         bases[d] = axes(m / np.linalg.norm(m, axis=1)[:, None])
     reach = math.sqrt(2 - 2 * threshold) + 1e-9
     side = 2 * reach
@@ -118,7 +125,8 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         out = []
         for x in vs:
             basis = bases.get(len(x))
-            u = np.asarray(x) / np.linalg.norm(x)
+            u = scaled(np.asarray(x)[None, :])[0]
+            u = u / np.linalg.norm(u)
             c = (u @ basis[:, :2] if basis is not None and len(x) > 1 else np.resize(u[:2], 2)) / side
             at, low, high = np.floor(c).astype(int), np.floor(c - 0.5).astype(int), np.floor(c + 0.5).astype(int)
             out.append([{"x": int(a), "y": int(b), "home": bool(a == at[0] and b == at[1])} for a in range(low[0], high[0] + 1) for b in range(low[1], high[1] + 1)])
