@@ -28,8 +28,8 @@ from .embedding_dedup import usable
 from .shared import written
 
 PROJECTIONS, COLLISIONS, Z, SLACK, FAST, RATIO, START, SEED = 128, 0.8, 1.2816, 0.07, 1.3, 1.1, 0.3, 17
-#: Most vectors of a shard and queries of a block, about. Fewer are dealt to as many shards as tasks run at once, if each has LEAST.
-SHARD, BLOCK, LEAST = 32768, 16384, 4096
+#: Vectors of a shard and queries of a block, about. Their numbers depend on the tables alone, so that every cluster gives the same answer.
+SHARD, BLOCK = 16384, 16384
 
 
 def lines(d: int) -> np.ndarray:
@@ -95,14 +95,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     src = vectors.select(F.col(id_col).cast("bigint").alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"), F.coalesce(is_query, F.lit(False)).alias("_q"))
     src, _ = written(src.filter(F.col("_id").isNotNull() & usable(F.col("_v"))), "search")
     n, q = src.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("_q").cast("long")), F.lit(0))).first()
-    tasks = src.sparkSession.sparkContext.defaultParallelism
-    shards, blocks = max(1, -(-n // SHARD), min(tasks, n // LEAST)), max(1, -(-q // BLOCK))
-    shard, block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(blocks)).cast("int")
+    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-q // BLOCK))
+    shard, block = F.pmod(F.xxhash64("_id", "_v"), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(blocks)).cast("int")
     data = src.select(shard.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "_id", "_v", F.lit(False).alias("_q"))
     asked = src.filter("_q").dropDuplicates(["_id"]).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), block.alias("b"), "_id", "_v", F.lit(True).alias("_q"))
 
     def tile(pdf):
-        rows = []
+        rows, pdf = [], pdf.sort_values("_id", kind="stable")
         sizes = pdf["_v"].map(len)
         for d in sizes.unique():
             part = pdf[sizes == d]
