@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import bloom
 from .shared import delete, fresh_names, written
 
-DEPTH, MIN_DOCS, SIMILARITY, LEVELS, HOT = 4, 2, 0.75, 3, 4096
+DEPTH, MIN_DOCS, SIMILARITY, LEVELS, HOT, BUCKETS = 4, 2, 0.75, 3, 4096, 1024
 _MASK = "(?<!\\S)[^\\s0-9]*+[0-9]\\S*"
 
 
@@ -30,6 +30,10 @@ def squeeze(line: Column) -> Column:
     return F.trim(F.when(odd, F.regexp_replace(line, "[ \t\r]+", " ")).otherwise(line))
 
 
+def _bucket(raw: Column) -> Column:
+    return F.pmod(raw, F.lit(BUCKETS)).cast("int")
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """Of each document (_id, _text) the different lines, with hashes of the leaf, the masked and the squeezed line."""
     line = F.explode(F.array_distinct(F.transform(F.split("_text", "\n", -1), squeeze))).alias("line")
@@ -62,8 +66,8 @@ def _templates(docs: DataFrame, pairs: DataFrame, mixed: DataFrame, similarity:
         support = each.groupBy("branch", "pos", "token").agg(F.sum("n_docs").alias("support")).join(total, "branch")
         if level < levels - 1:
             support = keep(support, "support")
-        constant = support.filter(2 * F.col("support") > F.col("total")).groupBy("branch").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("constant"))
-        same = F.size(F.filter(F.transform("tokens", lambda t, i: F.coalesce(F.try_element_at("constant", i) == t, F.lit(False))), lambda x: x))
+        constant = support.filter(2 * F.col("support") > F.col("total")).groupBy("branch").agg(F.collect_list(F.xxhash64("pos", "token")).alias("constant"))
+        same = F.size(F.array_intersect(F.transform("tokens", lambda t, i: F.xxhash64(i, t)), "constant"))  # by hash, a place is there once
         judged = rest.join(constant, "branch", "left").withColumn("_fits", F.coalesce(same, F.lit(0)) + depth >= similarity * (F.size("tokens") + depth)).drop("constant")
         judged = keep(judged, "judged")
         fits = judged.filter("_fits").select("leaf", "own", F.col("branch").alias("template"))
@@ -79,7 +83,8 @@ def _templates(docs: DataFrame, pairs: DataFrame, mixed: DataFrame, similarity:
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, levels: int = LEVELS) -> tuple[DataFrame, list[str]]:
-    """One row per document that loses lines: _id and `_drop`, the hashes of its squeezed lines to drop. And the tables it reads, for `delete`."""
+    """One row per document that loses lines: _id and `_drop`, the hashes of its squeezed lines to drop, in BUCKETS by their remainder. And
+    the tables it reads, for `delete`."""
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     pairs, path = written(_lines(src, depth).select("_id", "raw", "own", "leaf"), "lines")
     paths = [path]
@@ -109,7 +114,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = some.withColumn("_salt", salt).join(cold, [*key, "_salt"], "left")
         return out.filter(F.col("_id") != F.coalesce("_hot", "first")).select("_id", "raw")
 
-    return recurring(keyed).unionByName(recurring(some)).groupBy("_id").agg(F.collect_set("raw").alias("_drop")), paths
+    found = recurring(keyed).unionByName(recurring(some)).repartition("_id").groupBy("_id", _bucket(F.col("raw")).alias("_b")).agg(F.collect_set("raw").alias("_raws"))
+    return found.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_raws"))).alias("_drop")), paths
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, levels: int = LEVELS) -> DataFrame:
@@ -124,7 +130,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     key, drop, stay = fresh_names(base.select("*", F.lit(0).alias("n_lines"), F.lit(0).alias("n_dropped")), "_id", "_drop", "_kept")
     joined = base.join(drops.select(F.col("_id").alias(key), F.col("_drop").alias(drop)), F.col(id_col) == F.col(key), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(drop, F.xxhash64(squeeze(x))), F.lit(False)))
+    hit = lambda h: F.coalesce(F.array_contains(F.try_element_at(F.col(drop), _bucket(h)), h), F.lit(False))
+    kept = F.filter(lines, lambda x: ~F.transform(F.array(F.xxhash64(squeeze(x))), hit)[0])  # a line is hashed once
     breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     out = joined.withColumns({stay: F.when(F.col(drop).isNotNull(), kept), "n_lines": F.coalesce(breaks + 1, F.lit(0))})
     out = out.withColumn("n_dropped", F.when(F.col(drop).isNotNull(), F.col("n_lines") - F.size(stay)).otherwise(0))
