@@ -8,6 +8,7 @@ from collections.abc import Collection
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import __version__
+from .operators.rollups import counts_of, state_of
 from .schemas import SCHEMAS, normalise
 from .sources import bed
 
@@ -72,6 +73,13 @@ class Catalog:
         copy = self._tables[f"{name}_by_{column}"]
         return copy if name in self._normal else normalise(copy, name)
 
+    @property
+    def counts(self) -> DataFrame:
+        """Counts of different values by subject: the stored ones, else counted now."""
+        if "rollups" in self._normal:
+            return self.rollups
+        return counts_of(state_of({t: getattr(self, t) for t in ("study_extractions", "coloc_groups", "rare_results")}))
+
     @property
     def has_postings(self) -> bool:
         """Whether the catalog has posting lists of the groups, by which closures find a subject's groups."""

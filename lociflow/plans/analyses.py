@@ -202,10 +202,14 @@ def shared_groups_log(shared: DataFrame) -> DataFrame:
 
 
 def cluster_summary(clusters: DataFrame, traits: DataFrame, width: int = 500) -> DataFrame:
-    """Names of each cluster's traits in id order, cut to `width`."""
-    named = clusters.join(traits.select(F.col("id").alias("trait_id"), "trait_name"), "trait_id", "left")
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("trait_name").isNotNull(), F.struct("trait_id", "trait_name")))), lambda x: x["trait_name"]), ", ")
-    return named.groupBy("cluster_id").agg(truncate(names, width).alias("traits"), F.count(F.lit(1)).alias("n_traits"))
+    """Names of each cluster's traits in id order, cut to `width`; no more names are gathered than can be seen, two characters part them."""
+    named = clusters.join(traits.select(F.col("id").alias("trait_id"), "trait_name"), "trait_id").filter("trait_name is not null")
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("trait_id"))
+    some = named.withColumn("_rank", rank).filter(F.col("_rank") <= width // 2 + 2)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("trait_id", "trait_name"))), lambda x: x["trait_name"]), ", ")
+    seen = some.groupBy("cluster_id").agg(names.alias("_names"))
+    n = clusters.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_traits"))
+    return n.join(seen, "cluster_id", "left").select("cluster_id", truncate(F.coalesce("_names", F.lit("")), width).alias("traits"), "n_traits")
 
 
 def no_padded_groups(rows: DataFrame, group: str) -> DataFrame:

@@ -16,7 +16,7 @@ from ..catalog import Catalog
 from ..functions.scalars import GUID
 from ..operators.intervals import overlaps
 from ..operators.merge import merge_associations, merge_trait_result, merge_upload_associations
-from ..operators.ops import between_ids, closure, distinct_counts, null_safe_join, union_fill
+from ..operators.ops import between_ids, closure, null_safe_join, union_fill
 from ..sources.upload_store import UploadStore
 
 H4 = 0.8
@@ -55,22 +55,18 @@ def _ids(values: Sequence, most: int, what: str) -> list:
 
 
 def all_traits(cat: Catalog) -> DataFrame:
-    return _rollup(cat, cat.traits, "trait_id", "num_rare_results")
+    return _rollup(cat, cat.traits, "trait", "num_rare_results")
 
 
 def all_genes(cat: Catalog) -> DataFrame:
-    return _rollup(cat, cat.genes, "gene_id", "num_rare_groups")
-
-
-def _rollup(cat: Catalog, base: DataFrame, key: str, rare: str) -> DataFrame:
-    keyed = lambda df: df.withColumn("_k_id", F.col(key))
-    counts = distinct_counts(
-        ["_k_id"],
-        (keyed(cat.study_extractions), {"id": "num_study_extractions"}),
-        (keyed(cat.coloc_groups), {"coloc_group_id": "num_coloc_groups", "study_id": "num_coloc_studies"}),
-        (keyed(cat.rare_results), {"rare_result_group_id": rare}),
-    )
-    return base.join(counts, F.col("id") == F.col("_k_id"), "left").drop("_k_id").fillna(0, [c for c in counts.columns if c != "_k_id"])
+    return _rollup(cat, cat.genes, "gene", "num_rare_groups")
+
+
+def _rollup(cat: Catalog, base: DataFrame, kind: str, rare: str) -> DataFrame:
+    """The table with its subjects' counts, 0 where there is nothing to count; no fact table is read if the counts are stored."""
+    counts = cat.counts.filter(F.col("kind") == kind).drop("kind").withColumnRenamed("num_rare", rare)
+    out = base.join(counts, F.col("id").cast("string") == F.col("subject"), "left").drop("subject")
+    return out.fillna(0, [c for c in counts.columns if c != "subject"])
 
 
 def coloc_pairs_of(cat: Catalog, extraction_ids: DataFrame, h4_threshold: float = H4) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, functions as F
 
 from ..catalog import Catalog
-from ..operators.ops import distinct_counts
 
 VARIANT_TEXT = re.compile(r"^rs|^\d+:\d+")
 
@@ -35,19 +34,8 @@ def _terms(cat: Catalog, text: str, literal: bool) -> DataFrame:
     rows = cat.cached_search_terms.filter(hit("name_lower") | hit("alt_name_lower"))
     name = F.when(F.col("alt_name").isNull(), F.col("name")).otherwise(F.concat("name", F.lit(" ("), "alt_name", F.lit(")")))
     call = F.when(F.col("type") == "trait", F.concat(F.lit("trait("), "type_id", F.lit(")"))).when(F.col("type") == "gene", F.concat(F.lit("gene('"), "type_id", F.lit("')")))
-    hits = rows.select("type", "type_id").distinct()
-
-    def of_hits(df: DataFrame) -> DataFrame:
-        """Each row stands for its trait and its gene; what is no hit goes before anything is grouped."""
-        kinds = F.array(F.struct(F.lit("trait").alias("type"), F.col("trait_id").cast("string").alias("type_id")), F.struct(F.lit("gene").alias("type"), F.col("gene").alias("type_id")))
-        return df.select("*", F.inline(kinds)).join(hits, ["type", "type_id"], "left_semi")
-
-    counts = distinct_counts(
-        ["type", "type_id"],
-        (of_hits(cat.coloc_groups.select("trait_id", "gene", "coloc_group_id", "study_id")), {"coloc_group_id": "num_coloc_groups", "study_id": "num_coloc_studies"}),
-        (of_hits(cat.rare_results.select("trait_id", "gene", "rare_result_group_id")), {"rare_result_group_id": "num_rare_results"}),
-        (of_hits(cat.study_extractions.select("trait_id", "gene", "id")), {"id": "num_study_extractions"}),
-    )
+    kind = F.when(F.col("kind") == "symbol", "gene").otherwise(F.col("kind")).alias("type")  # a gene's call is by its symbol
+    counts = cat.counts.filter("kind in ('trait', 'symbol')").select(kind, F.col("subject").alias("type_id"), "num_coloc_groups", "num_coloc_studies", F.col("num_rare").alias("num_rare_results"), "num_study_extractions")
     out = rows.join(counts, ["type", "type_id"], "left")
     out = out.fillna(0, ["num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions"])
     return out.select(call.alias("call"), name.alias("name"), "type", "type_id", "sample_size", "num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions")

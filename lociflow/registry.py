@@ -12,9 +12,10 @@ from .functions import cluster
 from .functions.scalars import is_guid, source_url
 from .operators import merge
 from .operators.intervals import overlaps
-from .operators.ops import distinct_counts
+from .operators.rollups import RollupStore
 from .plans import analyses as A, lookups as L, search as S
-from .sources import bed, formats, uploads
+from .schemas import SCHEMAS
+from .sources import bed, envelopes, formats, uploads
 from .sources.upload_store import UploadStore
 from .storage import fresh_path, shared_dir
 
@@ -133,8 +134,6 @@ _component("sumstats_scan", _scanned, "SELECT study_id, snp, chr, bp, beta, se,
 
 def _decoded(cat: Catalog) -> DataFrame:
     """All pairs, packed as columnar JSON of at most 1,000 rows and decoded again."""
-    from .schemas import SCHEMAS
-
     names = ["study_extraction_a_id", "study_extraction_b_id", "h4"]
     rows = cat.coloc_pairs.select(*names, F.floor(F.monotonically_increasing_id() / 1000).alias("pack"))
     packed = rows.groupBy("pack").agg(F.to_json(F.struct(F.array(*map(F.lit, names)).alias("coloc_pair_column_names"), F.collect_list(F.array(*(F.col(n).cast("string") for n in names))).alias("coloc_pair_rows"))).alias("j"))
@@ -254,6 +253,43 @@ def q_block_overlaps(cat):
     return inside.join(near, "block_id")
 
 
+@query("""SELECT 'coloc' AS part, study_extraction_id AS id, trait_id, min_p, tissue, cis_trans FROM b_coloc_groups
+    UNION ALL SELECT 'rare', study_extraction_id, trait_id, min_p, tissue, NULL FROM b_rare_results UNION ALL SELECT 'own', id, trait_id, min_p, tissue, cis_trans FROM b_study_extractions""")
+def q_bundle_envelopes(cat):
+    """The rows of all traits as JSON documents, read again."""
+    path, names = fresh_path(cat.spark, "json"), ("coloc_groups", "rare_results", "study_extractions")
+    envelopes.write_envelopes({n: getattr(cat, n) for n in names}, path, "trait_id")
+    t = envelopes.read_envelopes(cat.spark, path, {n: SCHEMAS[n] for n in names}).tables
+    part = lambda name, n, c, cis=F.col("cis_trans"): t[n].select(F.lit(name).alias("part"), F.col(c).alias("id"), "trait_id", "min_p", "tissue", cis.cast("string").alias("cis_trans"))
+    return part("coloc", "coloc_groups", "study_extraction_id").unionByName(part("rare", "rare_results", "study_extraction_id", F.lit(None))).unionByName(part("own", "study_extractions", "id"))
+
+
+@query("SELECT s.study_id, g.gene, s.snp, s.bp, s.lbf_1 FROM b_summary_stats s JOIN b_genes g ON s.study_id = g.id")
+def q_located_stats(cat):
+    """All statistics as files of a study each; those that a table of genes names by the study's folder, one gene's file being missing."""
+    path = f"{shared_dir(cat.spark)}/stats-{uuid.uuid4().hex}"
+    formats.write_stats(cat.summary_stats, path)
+    files = cat.spark.read.format("binaryFile").load(path).select("path", F.regexp_extract("path", r"study_id=(\d+)", 1).cast("bigint").alias("file_of"))
+    named = cat.genes.select("id", "gene").join(files, F.col("id") == F.col("file_of")).select("gene", F.col("path").alias("file"))
+    rows, _ = formats.read_located(cat.spark, named.unionByName(named.limit(1).select(F.lit("none").alias("gene"), F.concat("file", F.lit(".none")).alias("file"))), "file")
+    return rows.select(F.col("study_id").cast("bigint").alias("study_id"), "gene", "snp", "bp", "lbf_1")
+
+
+@query("SELECT * FROM b_rollups")
+def q_rollups(cat):
+    return cat.rollups
+
+
+@query("SELECT * FROM b_rollups")
+def q_rollups_maintained(cat):
+    """All rows taken in by three increments, of which the second and third hold rows that came before."""
+    store = RollupStore(cat.spark, fresh_path(cat.spark, "rollups"))
+    for least, below in ((0, 5), (3, 8), (6, 10)):
+        part = lambda df, c, a=least, b=below: df.filter(F.pmod(F.xxhash64(c), F.lit(10)).between(a, b - 1))
+        store.add({"study_extractions": part(cat.study_extractions, "id"), "coloc_groups": part(cat.coloc_groups, "study_extraction_id"), "rare_results": part(cat.rare_results, "study_extraction_id")})
+    return store.counts()
+
+
 @query("SELECT family, kind, subject, grp FROM b_postings")
 def q_postings(cat):
     return cat.postings
@@ -519,8 +555,7 @@ _PROP = f"""WITH n AS (SELECT trait_id, count(*) AS n_colocs FROM b_coloc_groups
 
 
 def _proportion(cat):
-    hits = distinct_counts(["trait_id"], (cat.study_extractions, {"id": "num_study_extractions"})).withColumnRenamed("trait_id", "id")
-    return A.category_proportion(cat.coloc_groups, hits, ANCHOR)
+    return A.category_proportion(cat.coloc_groups, L.all_traits(cat), ANCHOR)
 
 
 @query(_PROP + """ SELECT trait_id, n_colocs, n_studyhits, trait_category, round(prop_colocing_hits, 9) AS prop_colocing_hits, colocs_cut,
@@ -584,6 +619,15 @@ def q_cluster_summary(cat):
     return A.cluster_summary(_clusters(cat), cat.traits)
 
 
+@query("""SELECT cluster_id, CASE WHEN length(x) > 500 THEN concat(substr(x, 1, 497), '...') ELSE x END AS traits, n_traits
+    FROM (SELECT id % 7 AS cluster_id, string_agg(trait_name, ', ' ORDER BY id) AS x, count(*) AS n_traits FROM b_traits GROUP BY 1
+      UNION ALL SELECT 1000 + id, trait_name, 1 FROM b_traits) y""")
+def q_cluster_names(cat):
+    """Summaries of given clusters of all traits: seven large ones, and each trait by itself."""
+    given = cat.traits.select(F.col("id").alias("trait_id"), (F.col("id") % 7).alias("cluster_id")).unionByName(cat.traits.select(F.col("id").alias("trait_id"), (1000 + F.col("id")).alias("cluster_id")))
+    return A.cluster_summary(given, cat.traits)
+
+
 _PAIR = f"""{_FIRST}, rows_ AS (SELECT c.*, f.beta, f.se FROM b_coloc_groups c LEFT JOIN first f ON c.study_id = f.study_id AND c.variant_id = f.variant_id)"""
 _SIDES = f"""{_PAIR}, side AS (SELECT *, CASE WHEN gene_id % 2 = 0 THEN 1 ELSE 2 END AS tid FROM rows_),
     bth AS (SELECT * FROM side WHERE coloc_group_id IN (SELECT coloc_group_id FROM side WHERE tid = 1) AND coloc_group_id IN (SELECT coloc_group_id FROM side WHERE tid = 2)),

@@ -27,6 +27,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "search_terms": _schema(type=_S, name=_S, alt_name=_S, type_id=_S, sample_size=_I),
     "summary_stats": _schema(study_id=_L, snp=_S, chr=_S, bp=_L, se=_D, lbf_1=_D, beta=_D),
     "postings": _schema(family=_S, kind=_S, subject=_L, grp=_L),
+    "rollups": _schema(kind=_S, subject=_S, num_study_extractions=_L, num_coloc_groups=_L, num_coloc_studies=_L, num_rare=_L),
     "uploads": _schema(upload_id=_L, guid=_S, name=_S),
     "upload_coloc_groups": _schema(coloc_group_id=_L, gwas_upload_id=_L, study_id=_L, existing_study_id=_L, variant_id=_L, trait_id=_L, ord=_L),
 }

@@ -10,10 +10,12 @@ import hashlib
 import json
 import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.rollups import counts_of, state_of
 from ..schemas import SCHEMAS, normalise
 from ..storage import shared_dir
 
@@ -96,6 +98,20 @@ BED: dict[str, str] = {
                CASE WHEN ln % 3 = 1 THEN r.study_id END AS existing_study_id, r.variant_id, r.trait_id,
                r.study_extraction_id AS ord
         FROM b_rows r JOIN b_uploads u ON r.grp = u.upload_id""",
+    # Counts by trait, gene and symbol, which lists and searches read.
+    "b_rollups": """
+        SELECT kind, subject, CAST(count(DISTINCT e) AS bigint) AS num_study_extractions, CAST(count(DISTINCT c) AS bigint) AS num_coloc_groups,
+               CAST(count(DISTINCT s) AS bigint) AS num_coloc_studies, CAST(count(DISTINCT r) AS bigint) AS num_rare
+        FROM (SELECT 'trait' AS kind, CAST(trait_id AS varchar(20)) AS subject, id AS e, NULL AS c, NULL AS s, NULL AS r FROM b_study_extractions
+              UNION ALL SELECT 'gene', CAST(gene_id AS varchar(20)), id, NULL, NULL, NULL FROM b_study_extractions
+              UNION ALL SELECT 'symbol', gene, id, NULL, NULL, NULL FROM b_study_extractions
+              UNION ALL SELECT 'trait', CAST(trait_id AS varchar(20)), NULL, coloc_group_id, study_id, NULL FROM b_coloc_groups
+              UNION ALL SELECT 'gene', CAST(gene_id AS varchar(20)), NULL, coloc_group_id, study_id, NULL FROM b_coloc_groups
+              UNION ALL SELECT 'symbol', gene, NULL, coloc_group_id, study_id, NULL FROM b_coloc_groups
+              UNION ALL SELECT 'trait', CAST(trait_id AS varchar(20)), NULL, NULL, NULL, rare_result_group_id FROM b_rare_results
+              UNION ALL SELECT 'gene', CAST(gene_id AS varchar(20)), NULL, NULL, NULL, rare_result_group_id FROM b_rare_results
+              UNION ALL SELECT 'symbol', gene, NULL, NULL, NULL, rare_result_group_id FROM b_rare_results) x
+        WHERE subject IS NOT NULL GROUP BY kind, subject""",
     # Posting lists of the groups: which a subject has rows in.
     "b_postings": """
         SELECT DISTINCT 'coloc' AS family, kind, subject, grp FROM (
@@ -134,11 +150,11 @@ def oracle(text: str) -> str:
 
 
 #: How the stored tables are laid out: range-partitioned and sorted by what lookups ask for, so that files and row groups are skipped.
-LAYOUT = {"variants": ("chr", "bp"), "study_extractions": ("trait_id", "id"), "postings": ("family", "kind", "subject"), "associations": ("study_id", "variant_id"), "coloc_pairs": ("study_extraction_a_id",), "ld": ("lead_variant_id",), "summary_stats": ("study_id", "chr", "bp")}
+LAYOUT = {"variants": ("chr", "bp"), "study_extractions": ("trait_id", "id"), "postings": ("family", "kind", "subject"), "rollups": ("kind", "subject"), "associations": ("study_id", "variant_id"), "coloc_pairs": ("study_extraction_a_id",), "ld": ("lead_variant_id",), "summary_stats": ("study_id", "chr", "bp")}
 #: Second copies in another order: of a table, by the column that they are asked by.
 COPIES = {"associations": {"variant_id": ("variant_id", "study_id")}, "study_extractions": {c: (c, "id") for c in ("gene_id", "variant_id", "ld_block_id")}}
 #: Tables in buckets of a column, about ROWS rows a bucket: joins and closures on it shuffle the other side only.
-BUCKETS, ROWS, LEAST = {"coloc_groups": "coloc_group_id", "rare_results": "rare_result_group_id"}, 1_000_000, 8
+BUCKETS, ROWS, LEAST, AT_ONCE = {"coloc_groups": "coloc_group_id", "rare_results": "rare_result_group_id"}, 1_000_000, 8, 4
 _STORED: dict[tuple[str, str], str] = {}
 _SEEN: dict[tuple[str, str], str] = {}
 
@@ -179,6 +195,10 @@ def open_buckets(spark: SparkSession, path: str, schema: StructType, column: str
     return spark.table(name)
 
 
+def _laid(frame: DataFrame, order: tuple | None) -> DataFrame:
+    return frame.repartitionByRange(*order).sortWithinPartitions(*order) if order else frame
+
+
 def stored(spark: SparkSession, sf_dir: str, version: str) -> str:
     """The folder that holds every bed table of `sf_dir` as Parquet, and a manifest of the data's version, which is written last.
 
@@ -189,19 +209,32 @@ def stored(spark: SparkSession, sf_dir: str, version: str) -> str:
     if key not in _STORED:
         root = f"{shared_dir(spark)}/tables-{key[1]}-{uuid.uuid4().hex}"
         schemas = {}
-        buckets = {}
-        for name in (n.removeprefix("b_") for n in BED):
-            frame = table(spark, sf_dir, name, root)
+        buckets: dict[str, list] = {}
+
+        def store(name: str) -> None:
+            if name == "rollups":  # as they are kept up to date, not as the oracle counts them
+                frame = counts_of(state_of({t: spark.read.parquet(f"{root}/{t}.parquet") for t in ("study_extractions", "coloc_groups", "rare_results")}))
+            else:
+                frame = table(spark, sf_dir, name, root)
             if name in SCHEMAS:
                 frame = normalise(frame, name)
             schemas[name] = frame.schema.jsonValue()
             if name in BUCKETS:
                 buckets[name] = [BUCKETS[name], max(LEAST, frame.count() // ROWS)]
                 store_buckets(frame, f"{root}/{name}.parquet", *buckets[name])
-                continue
-            for order, path in ((LAYOUT.get(name), name), *((o, f"{name}_by_{c}") for c, o in COPIES.get(name, {}).items())):
-                laid = frame.repartitionByRange(*order).sortWithinPartitions(*order) if order else frame
-                laid.write.parquet(f"{root}/{path}.parquet")
+            else:
+                _laid(frame, LAYOUT.get(name)).write.parquet(f"{root}/{name}.parquet")
+
+        def copy(name: str, column: str) -> None:
+            _laid(spark.read.parquet(f"{root}/{name}.parquet"), COPIES[name][column]).write.parquet(f"{root}/{name}_by_{column}.parquet")
+
+        left = {n.removeprefix("b_"): {d.removeprefix("b_") for d in BED if re.search(rf"\b{d}\b", BED[n])} for n in BED}
+        with ThreadPoolExecutor(AT_ONCE) as pool:  # tables whose sources are stored are written together
+            while left:
+                ready = [n for n, needs in left.items() if not needs & set(left)]
+                list(pool.map(store, ready))
+                left = {n: needs for n, needs in left.items() if n not in ready}
+            list(pool.map(lambda c: copy(*c), [(t, c) for t in COPIES for c in COPIES[t]]))
         copies = {t: sorted(c) for t, c in COPIES.items()}
         manifest = {"version": version, "tables": schemas, "normal": [n for n in schemas if n in SCHEMAS], "copies": copies, "buckets": buckets}
         spark.range(1).select(F.lit(json.dumps(manifest)).alias("value")).write.text(f"{root}/manifest.json")

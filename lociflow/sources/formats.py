@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..storage import file_system
+
 STATS = T.StructType([T.StructField(n, T.StringType()) for n in ("SNP", "CHR")] + [T.StructField("BP", T.LongType())] + [T.StructField(n, T.StringType()) for n in ("EA", "OA")] + [T.StructField(n, T.DoubleType()) for n in ("EAF", "Z", "BETA", "SE", "P")] + [T.StructField("imputed", T.BooleanType())] + [T.StructField(f"LBF_{i}", T.DoubleType()) for i in range(1, 11)])
 
 
@@ -45,19 +47,44 @@ def arrival(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, (F.col("_at") + F.col("_shift") + F.col("_past")).alias("ord"))
 
 
-def read_stats(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False) -> DataFrame:
+def read_stats(spark: SparkSession, paths: str | Sequence[str], ordered: bool = False, located: bool = False) -> DataFrame:
     """`*.tsv.gz` files with a header that may miss columns; NA is null, names are lower-cased.
 
     study_id is the folder's where files lie in folders `study_id=<id>`, else the file's base name without `_with_lbfs`. `ordered` adds
-    `ord`, the order of arrival (see `arrival`), which keep-first operators need.
+    `ord`, the order of arrival (see `arrival`), which keep-first operators need; `located` adds `_uri`, the file.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_with_lbfs)?\.[^.]+\.[^.]+$", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/study_id=([^/]+)/[^/]*$", 1)  # of a file that is named itself
+    name = F.when(folder != "", folder).otherwise(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:_with_lbfs)?\.[^.]+\.[^.]+$", 1))
     raw = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).option("nullValue", "NA").csv(paths)
     raw = raw.withColumn("study_id", F.col("study_id").cast("string")) if "study_id" in raw.columns else raw.select("*", name.alias("study_id"))
+    raw = raw.withColumn("_uri", F.regexp_replace(F.col("_metadata.file_path"), "^file:///", "file:/")) if located else raw
     raw = arrival(raw) if ordered else raw
     have = {c.lower(): c for c in raw.columns}
-    return raw.select("study_id", *(["ord"] if ordered else []), *((F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name.lower()) for f in STATS.fields))
+    return raw.select("study_id", *(["ord"] if ordered else []), *(["_uri"] if located else []), *((F.col(f"`{have[f.name.lower()]}`") if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name.lower()) for f in STATS.fields))
+
+
+def read_located(spark: SparkSession, rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Statistics of the files that the column `path` of a table names, and the rows of the table whose file is missing.
+
+    Rows of the files have the table's path and its other columns too, those of a name that statistics have left out. Files that several
+    rows name are read once. The driver sees names of files only, and lists each of their folders once.
+    """
+    given = [r[0] for r in rows.select(path).filter(F.col(path).isNotNull()).distinct().collect()]
+    there, seen = {}, {}
+    for name in given:
+        fs, at = file_system(spark, name)
+        at = fs.makeQualified(at)
+        folder = at.getParent().toString()
+        if folder not in seen:
+            seen[folder] = {s.getPath().toString() for s in fs.listStatus(at.getParent())} if fs.exists(at.getParent()) else set()
+        if at.toString() in seen[folder]:
+            there[name] = at.toString()
+    found = spark.createDataFrame(list(there.items()), f"`{path}` string, _uri string")
+    missing = rows.join(found, path, "left_anti")
+    stats = read_stats(spark, list(there.values()), located=True) if there else spark.createDataFrame([], T.StructType([T.StructField("study_id", T.StringType()), T.StructField("_uri", T.StringType()), *(T.StructField(f.name.lower(), f.dataType) for f in STATS.fields)]))
+    keep = [c for c in rows.columns if c == path or c.lower() not in {x.lower() for x in stats.columns}]
+    return stats.join(found, "_uri").drop("_uri").join(rows.select(keep), path), missing
 
 
 def read_stats_zip(spark: SparkSession, path: str) -> DataFrame:

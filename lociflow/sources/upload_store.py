@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.scalars import GUID
-from ..storage import file_system
+from ..storage import file_system, replace_text
 from .uploads import check_columns, check_upload, upload_normalise
 
 RECORD = "guid string, name string, email string, category string, is_published boolean, doi string, should_be_added boolean, ancestry string, sample_size bigint, reference_build string, p_value_threshold double, compare_with array<string>"
@@ -33,23 +33,9 @@ class UploadStore:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _commit(self, commit: str, folder: str, records: Sequence[dict]) -> None:
-        """The commit file, written whole under another name and moved over the old one."""
         schema = T._parse_datatype_string(COMMIT)
         text = self.spark.createDataFrame([(commit, folder, [tuple(r.get(f.name) for f in schema["records"].dataType.elementType.fields) for r in records])], schema).select(F.to_json(F.struct("*"))).first()[0]
-        jvm = self.spark.sparkContext._jvm
-        to = f"{self.root}/commits/{commit}.json"
-        fs, target = file_system(self.spark, to)
-        draft = jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits/.{commit}-{uuid.uuid4().hex}")
-        out = fs.create(draft, True)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        option = jvm.org.apache.hadoop.fs.Options.Rename
-        array = self.spark.sparkContext._gateway.new_array(option, 1)
-        array[0] = option.OVERWRITE
-        context.rename(draft, target, array)
+        replace_text(self.spark, f"{self.root}/commits/{commit}.json", text)
 
     def write(self, commit: str, rows: DataFrame, records: Sequence[dict]) -> None:
         """`rows`, with a column guid, as the rows of a commit."""
