@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import delete, written
-
-
-#: Nodes of more than 1 in HUBS edges, fewer than HUBS by their share: their labels are broadcast.
-HUBS = 4096
+from .shared import HUBS, delete, hot_join, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,7 +12,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label of neighbours, then the label's own label, and is written to the shared folder; lineage stays
     short, and paths halve. Null ends are dropped; repeated edges and loops do no harm. The edges of a hub that a third of all have are
-    not joined in one task.
+    not joined in one task, nor are the nodes of a component that holds a third of all.
     """
     spark = edges.sparkSession
     e = edges.select("a", "b").filter("a is not null and b is not null")
@@ -31,10 +27,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         of_hubs = F.broadcast(at_b.join(F.broadcast(hubs), F.col("b") == F.col("node"), "left_semi"))
         near = plain.join(at_b, "b").unionByName(hub_edges.join(of_hubs, "b")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_m"))
         step = labels.join(near, "node").select("node", F.col("component").alias("_was"), F.least("component", "_m").alias("_l"))
-        jump = step.select(F.col("node").alias("_n"), F.col("_l").alias("_ll"))
-        new, at = written(step.join(jump, F.col("_l") == F.col("_n")).select("node", F.col("_ll").alias("component"), (F.col("_ll") != F.col("_was")).alias("moved")), "labels")
+        step, path_step = written(step, "step")
+        jumped, path_hot = hot_join(step, step.select(F.col("node").alias("_l"), F.col("_l").alias("_ll")), ["_l"])  # a large component has one label
+        new, at = written(jumped.select("node", F.col("_ll").alias("component"), (F.col("_ll") != F.col("_was")).alias("moved")), "labels")
         done = new.filter("moved").isEmpty()
-        delete(spark, old)
+        delete(spark, old, path_step, path_hot)
         labels, old = new.drop("moved"), at
         if done:
             delete(spark, path, path_hubs)

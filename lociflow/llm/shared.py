@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import fresh_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset, a folder of this machine is set if it runs all tasks itself, as in tests;
-    on a cluster, whose machines do not share folders, it must be set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Keys that more than 1 in HUBS rows have are hot: fewer than HUBS, by their share.
+HUBS = 4096
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -40,6 +27,18 @@ def delete(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def hot_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, str]:
+    """Inner join of a written table with one whose keys are unique, and the path of a table that it reads, for `delete`.
+
+    The rows of `right` that hot keys of `left` need are broadcast, fewer than HUBS; the other keys are joined by a shuffle. So the rows of
+    a key that a third of all rows have stay where they are.
+    """
+    most = left.count() / HUBS
+    hot, path = written(left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > most).select(*keys), "hot")
+    plain = left.join(F.broadcast(hot), list(keys), "left_anti").join(right, list(keys))
+    return plain.unionByName(left.join(F.broadcast(right.join(F.broadcast(hot), list(keys), "left_semi")), list(keys))), path
+
+
 def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names that `df` does not have, in any case."""
     have, out = {c.lower() for c in df.columns}, []
