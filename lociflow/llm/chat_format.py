@@ -16,7 +16,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .shared import written
+from .shared import delete, hot_join, written
 
 #: Turns of a span.
 SPAN = 1024
@@ -91,7 +91,8 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     Within a conversation, (thread_turn, depth, turn) is the reply order. Null text has a null reply and no quotes; an empty one none
     either. Messages with a null conversation or turn begin a thread of their own. Of rows that repeat (conv_id, turn) each stays. A
-    conversation that holds a third of all rows is no group of one task, nor is a passage that all its messages say and quote.
+    conversation that holds a third of all rows is no group of one task, nor is a passage that all its messages say and quote, nor are the
+    replies to one message.
     Other columns, whatever their names, are left out; an empty table gives an empty result.
     """
     src = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), _parse(text).alias("p"))
@@ -109,8 +110,9 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     while not new.filter("not done").isEmpty():  # paths halve each round; rows that reached the thread's first turn leave
         active = new.filter("not done")
         above = ended.unionByName(active).select("conv_id", F.col("turn").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_d"), F.col("done").alias("_done"))
-        step = active.drop("done").join(above, ["conv_id", "up"])
+        step, path = hot_join(active.drop("done"), above, ["conv_id", "up"])
         new, _ = written(step.select("conv_id", "turn", "parent_turn", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_done").alias("done")), "threads")
+        delete(messages.sparkSession, path)
         ended = ended.unionByName(new.filter("done"))
     state = ended
     out = parsed.select("conv_id", "turn", F.col("own").alias("reply"), F.size("quotes").alias("n_quotes")).join(state.select("conv_id", "turn", "parent_turn", F.col("up").alias("thread_turn"), "depth"), ["conv_id", "turn"], "left")
