@@ -20,9 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier does not reject, unchanged; `lang` stays as it came.
 
     Null texts and texts without a letter, empty ones among them, are rejected. Learned is from labelled documents whose crc32(doc_id)
-    mod 3 is not 1, a null id being none of them. Repeated rows get one answer. If nothing is labelled, all goes.
+    mod 3 is not 1, a null id being one of them, as in op7. Repeated rows get one answer. If nothing is labelled, all goes.
     """
-    learn = docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(False)))
+    learn = docs.filter(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 != 1, F.lit(True)))
     named = language_id.identify(docs.select(*COLUMNS), language_id.fit(learn))
     return named.filter(~F.col("rejected")).select(*COLUMNS)
 

@@ -16,8 +16,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .shared import fresh_path, written
 
 BLOCK_TOKENS, WIDTH = 1 << 20, 2
-#: Texts of so many characters are encoded at once.
-AT_ONCE = 4_000_000
 
 
 def _fs(uri: str):

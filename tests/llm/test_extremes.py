@@ -54,3 +54,59 @@ def test_long_lines_and_documents(spark):
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.line_dedup(df).select("doc_id", "n_lines", "n_dropped").collect()}
     assert got == {1: (400_000, 0), 2: (400_000, 400_000)}
     assert one < 60 and time.time() - began < 60, (one, time.time() - began)
+
+
+def test_language_id_by_a_plain_loop(spark):
+    """Name and margin of every document of sf0.01, from blocks and dictionaries alone."""
+    import regex
+    import zstandard
+
+    from conftest import DATA
+    from lociflow.llm import language_id
+    from lociflow.llm.queries import QUERIES, table
+
+    docs = table(spark, f"{DATA}/sf0.01", "documents")
+    model = language_id.fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    coders = []
+    for lang, data in model.dictionaries:
+        d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=5)
+        coders.append((lang, zstandard.ZstdCompressor(level=5, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+    seen = 0
+    for r in QUERIES["op7_language_id"](spark, f"{DATA}/sf0.01").collect():
+        b = regex.sub(r"[^\p{L}]+", " ", (texts[r["doc_id"]] or "").lower()).strip(" ").encode()
+        if not b:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        sizes = sorted((sum(len(c.compress(b[i : i + 4096])) for i in range(0, len(b), 4096)), n, lang) for n, (lang, c) in enumerate(coders))
+        if sizes[0][0] < sizes[1][0]:  # ties are measured otherwise
+            seen += 1
+            assert r["lang_pred"] == sizes[0][2] and r["score"] == 1 - sizes[0][0] / sizes[1][0], r["doc_id"]
+    assert seen > 900
+
+
+def test_components_of_a_star_and_of_one_label(spark):
+    """A component that holds nearly all nodes: its labels meet by broadcast, and no join gets its nodes in one task."""
+    from lociflow.llm import components, shared
+
+    edges = spark.range(1, 20_000, 1, 6).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(30_000, 30_064).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = {r["component"]: r["n"] for r in components.connected_components(edges.union(chain)).groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {0: 20_000, 30_000: 65}
+    left, _ = shared.written(spark.range(0, 30_000, 1, 6).select(F.when(F.col("id") < 20_000, 1).otherwise(F.col("id")).cast("bigint").alias("k"), F.lit(1).alias("x")), "left")
+    out, path = shared.hot_join(left, spark.range(0, 40_000).select(F.col("id").alias("k"), (2 * F.col("id")).alias("y")), ["k"])
+    sizes = [r["n"] for r in out.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 30_000 and out.filter("y <> 2 * k").count() == 0 and max(sizes) < 15_000
+    shared.delete(spark, path)
+
+
+def test_replies_to_one_message(spark):
+    """Messages that all quote the first: its replies are a third of all rows and more."""
+    from lociflow.llm import chat_format
+
+    rows = [(1, 0, "the first of all messages")] + [(1, i, f"reply number {i}\n> the first of all messages") for i in range(1, 3000)]
+    rows += [(2, i, f"text {i}" + (f"\n> text {i - 1}" if i else "")) for i in range(40)]
+    out = chat_format.link_quotes(spark.createDataFrame(rows, "conv_id bigint, turn int, text string")).collect()
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["thread_turn"], r["depth"]) for r in out}
+    assert all(got[1, i] == (0, 0, 1) for i in range(1, 3000)) and all(got[2, i] == (i - 1, 0, i) for i in range(1, 40))
