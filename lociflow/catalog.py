@@ -11,6 +11,7 @@ from . import __version__
 from .operators.rollups import counts_of, state_of
 from .schemas import SCHEMAS, normalise
 from .sources import bed
+from .sources.envelopes import read_envelopes
 
 
 TARGETS = ("production", "dev")
@@ -61,6 +62,12 @@ class Catalog:
 
         return cls(spark, _Lazy(read), version, root, frozenset(manifest.get("normal", ())), copies)
 
+    @classmethod
+    def from_json(cls, spark: SparkSession, path: str) -> tuple[Catalog, DataFrame]:
+        """The domain tables that JSON documents hold, each read once, and the documents that do not fit (see `sources.envelopes`)."""
+        found = read_envelopes(spark, path, SCHEMAS)
+        return cls(spark, found.tables), found.bad
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)

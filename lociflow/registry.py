@@ -15,7 +15,7 @@ from .operators.intervals import overlaps
 from .operators.rollups import RollupStore
 from .plans import analyses as A, lookups as L, search as S
 from .schemas import SCHEMAS
-from .sources import bed, envelopes, formats, uploads
+from .sources import archives, bed, envelopes, formats, uploads
 from .sources.upload_store import UploadStore
 from .storage import fresh_path, shared_dir
 
@@ -55,17 +55,30 @@ _COLS = _COLOC.split(", ")
 _FIRST = "first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY study_id, variant_id ORDER BY ord) AS rn FROM b_associations) x WHERE rn = 1)"
 
 
-def _anchor_sql(table: str, group: str, name: str) -> str:
+def _anchor_sql(table: str, group: str, name: str, siblings: str = "trait_id % 97 = 0") -> str:
     return f"""{name}_seen AS (SELECT * FROM {table} WHERE {group} IN (SELECT {group} FROM {table} WHERE trait_id = {ANCHOR})),
-    {name}_kept AS (SELECT * FROM {name}_seen WHERE trait_id % 97 <> 0 AND min_p < 5.0e-8
+    {name}_kept AS (SELECT * FROM {name}_seen WHERE NOT ({siblings}) AND min_p < 5.0e-8
       AND {group} NOT IN (SELECT {group} FROM {name}_seen WHERE trait_id = {ANCHOR} AND min_p > 5.0e-8)),
     {name}_a AS (SELECT * FROM {name}_kept WHERE {group} IN (SELECT {group} FROM {name}_kept GROUP BY {group} HAVING count(*) > 1))"""
 
 
-_LOCUS = "WITH " + _anchor_sql("b_coloc_groups", "coloc_group_id", "common") + ", " + _anchor_sql("b_rare_results", "rare_result_group_id", "rare") + ",\n loci AS (" + " UNION ALL ".join(
+#: The anchor as one of eleven families of traits, so that many groups hold it.
+_FAMILIES = ", ".join(f"{k} AS (SELECT * REPLACE (trait_id % 11 AS trait_id) FROM {t})" for k, t in (("fc", "b_coloc_groups"), ("fr", "b_rare_results")))
+_LOCI = ",\n loci AS (" + " UNION ALL ".join(
     f"""SELECT p.display_snp, p.chr, p.bp, p.min_p, n.n_studies, round(-log10(greatest(p.min_p, 2.2250738585072014e-308)), 9) AS neg_log10_p, '{k}' AS variant_type
     FROM (SELECT display_snp, chr, bp, min(min_p) AS min_p FROM {k}_a WHERE trait_id = {ANCHOR} GROUP BY 1, 2, 3) p
     JOIN (SELECT display_snp, chr, bp, count(*) AS n_studies FROM {k}_a GROUP BY 1, 2, 3) n USING (display_snp, chr, bp)""" for k in ("common", "rare")) + ")"
+_LOCUS = "WITH " + _anchor_sql("b_coloc_groups", "coloc_group_id", "common") + ", " + _anchor_sql("b_rare_results", "rare_result_group_id", "rare") + _LOCI
+_WIDE = f"WITH {_FAMILIES}, " + _anchor_sql("fc", "coloc_group_id", "common", "trait_id = 3") + ", " + _anchor_sql("fr", "rare_result_group_id", "rare", "trait_id = 3") + _LOCI
+
+
+def _wide(cat: Catalog, table: str, group: str) -> DataFrame:
+    rows = getattr(cat, table).withColumn("trait_id", F.col("trait_id") % 11)
+    return A.anchor_filter(L.closure(rows, group, F.col("trait_id") == ANCHOR), group, ANCHOR, cat.spark.range(3, 4).select(F.col("id").alias("trait_id")))
+
+
+def _wide_loci(cat: Catalog) -> DataFrame:
+    return A.locus_agg(_wide(cat, "coloc_groups", "coloc_group_id"), _wide(cat, "rare_results", "rare_result_group_id"), ANCHOR).withColumn("neg_log10_p", F.round("neg_log10_p", 9))
 
 
 def locus_agg(cat: Catalog) -> DataFrame:
@@ -275,6 +288,17 @@ def q_located_stats(cat):
     return rows.select(F.col("study_id").cast("bigint").alias("study_id"), "gene", "snp", "bp", "lbf_1")
 
 
+@query("SELECT study_id, snp, chr, bp, beta, se, lbf_1, concat(CAST(study_id AS varchar), '_with_lbfs.tsv.gz') AS member FROM b_summary_stats")
+def q_archived_stats(cat):
+    """All statistics as zip archives of a member a study, eight archives, read by a task a member."""
+    path = fresh_path(cat.spark, "stats")
+    formats.write_stats(cat.summary_stats, path)
+    files = cat.spark.read.format("binaryFile").load(path).select("path", F.regexp_extract("path", r"study_id=(\d+)", 1).alias("study"))
+    files = files.select((F.col("study").cast("bigint") % 8).alias("archive"), F.concat("study", F.lit("_with_lbfs.tsv.gz")).alias("member"), "path")
+    rows = archives.read_archives(cat.spark, archives.write_archives(files, fresh_path(cat.spark, "archives")))
+    return rows.select(F.col("study_id").cast("bigint").alias("study_id"), "snp", "chr", "bp", "beta", "se", "lbf_1", "member")
+
+
 @query("SELECT * FROM b_rollups")
 def q_rollups(cat):
     return cat.rollups
@@ -528,6 +552,16 @@ def q_anchor_filter(cat):
     return _anchored(cat, "coloc_groups", "coloc_group_id").select(_COLS)
 
 
+@query(_WIDE + " SELECT coloc_group_id, study_extraction_id, trait_id, min_p FROM common_a")
+def q_anchor_filter_families(cat):
+    return _wide(cat, "coloc_groups", "coloc_group_id").select("coloc_group_id", "study_extraction_id", "trait_id", "min_p")
+
+
+@query(_WIDE + " SELECT * FROM loci")
+def q_locus_agg_families(cat):
+    return _wide_loci(cat)
+
+
 @query(_LOCUS + " SELECT * FROM loci")
 def q_locus_agg(cat):
     return locus_agg(cat)
@@ -547,6 +581,11 @@ def q_genome_positions(cat):
     return A.genome_positions(locus_agg(cat), A.chr_offsets(cat.genes)).select("display_snp", "chr", "bp", "variant_type", F.round("x_mbp", 9).alias("x_mbp"), F.round("x_mbp_mid", 9).alias("x_mbp_mid"))
 
 
+@query(_WIDE + f", {_OFFSETS} " + """SELECT l.display_snp, l.chr, l.bp, l.variant_type, round((l.bp + o."offset") / 1.0e6, 9) AS x_mbp FROM loci l LEFT JOIN offs o ON l.chr = o.chr_lab""")
+def q_genome_positions_families(cat):
+    return A.genome_positions(_wide_loci(cat), A.chr_offsets(cat.genes)).select("display_snp", "chr", "bp", "variant_type", F.round("x_mbp", 9).alias("x_mbp"))
+
+
 _PROP = f"""WITH n AS (SELECT trait_id, count(*) AS n_colocs FROM b_coloc_groups GROUP BY 1),
     meta AS (SELECT DISTINCT trait_id, trait_name, data_type, trait_category FROM b_coloc_groups WHERE data_type IN ('Cell Trait', 'Plasma Protein', 'Phenotype')),
     hits AS (SELECT trait_id, count(DISTINCT id) AS n_studyhits FROM b_study_extractions GROUP BY 1),

@@ -86,3 +86,40 @@ def test_located_files(spark, tmp_path):
     assert sorted(r["gwas_id"] for r in missing.collect()) == [3, 4, 5]
     none, missing = formats.read_located(spark, table.filter("gwas_id = 3"), "file")
     assert none.count() == 0 and missing.count() == 1
+
+
+def test_archives(spark, tmp_path):
+    """A task a member; what is missing or broken is a row of errors, and other members are read."""
+    import zipfile
+
+    from lociflow.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(100):
+            z.writestr(f"in/s{i}_with_lbfs.tsv.gz", gzip.compress("".join(["SNP\tBP\tP\textra\n", *(f"1:{j}\t{j}\t{'NA' if j % 2 else 0.5}\tx\n" for j in range(i))]).encode()))
+        z.writestr("broken.tsv.gz", gzip.compress(b"SNP\tP\n" + b"rs1\t0.1\n" * 9999)[:-20])
+        z.writestr("none.tsv.gz", b"no gzip")
+        z.writestr("odd.tsv.gz", gzip.compress(b'snp\tbp\tp\n"q"\tx\tNA\n\t7\t1e-9\n'))
+        z.writestr("readme.txt", "no table")
+    (tmp_path / "b.zip").write_text("no archive")
+    paths = spark.createDataFrame([(f"file://{tmp_path}/a.zip",), (f"{tmp_path}/b.zip",), (f"{tmp_path}/c.zip",), (None,)], "path string")
+    out = archives.read_archives(spark, paths)
+    assert out.rdd.getNumPartitions() == 105
+    rows = out.collect()
+    good = [r for r in rows if r["study_id"] and r["study_id"][1:].isdigit()]
+    assert sorted((r["study_id"], r["snp"], r["bp"], r["p"]) for r in good) == sorted((f"s{i}", f"1:{j}", j, None if j % 2 else 0.5) for i in range(100) for j in range(i))
+    bad = {(r["archive"].rsplit("/", 1)[-1], r["member"]) for r in rows if r["error"]}
+    assert bad == {("a.zip", "broken.tsv.gz"), ("a.zip", "none.tsv.gz"), ("b.zip", ""), ("c.zip", "")}
+    assert [(r["snp"], r["bp"], r["p"]) for r in rows if r["member"] == "odd.tsv.gz"] == [("q", None, None), ("", 7, 1e-9)]
+
+
+def test_catalog_from_json(spark, cat, tmp_path):
+    path = f"file://{tmp_path}/json"
+    names = ("traits", "study_extractions", "coloc_groups", "rare_results", "coloc_pairs", "associations")
+    envelopes.write_envelopes({n: getattr(cat, n).withColumn("of", F.lit(1)) for n in names}, path, "of")
+    found, bad = Catalog.from_json(spark, path)
+    assert bad.count() == 0 and found.traits.exceptAll(cat.traits.select(found.traits.columns)).count() == 0
+    a, b = (lookups.trait(c, 5, include_coloc_pairs=True) for c in (found, cat))
+    for part in ("subject", "coloc_groups", "rare_results", "study_extractions", "coloc_pairs"):
+        x, y = getattr(a, part), getattr(b, part)
+        assert sorted(map(str, x.select(sorted(x.columns)).collect())) == sorted(map(str, y.select(sorted(x.columns)).collect())), part
