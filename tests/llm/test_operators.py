@@ -565,7 +565,7 @@ def test_minhash_dedup_brute(spark):
 def test_url_filter(spark):
     rows = [(1, "http://a.EXAMPLE.com/en/712?q#x"), (2, "https://example.com/en/8"), (3, "x://other.net/de/"), (4, "x://example.net/de/81"), (5, "x://badexample.com/en/7"), (6, None), (7, ""), (8, "no scheme/en/"), (9, "x://org/es/a"), (10, "x://b.org/ES/a"), (11, "x://com?a"), (11, "x://com?a")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.url_filter(spark.createDataFrame(rows, "page_id bigint, url string").withColumn("host", F.lit("z")), URL_RULES).collect()}
-    assert got[1] == ("a.example.com", "/en/712", "example.com/en/7", "allow") and got[2][2:] == ("com/en/", "block") and got[3][2:] == ("net/de/", "block") and got[4][2:] == ("example.net/de/8", "allow")
+    assert got[1] == ("a.example.com", "/en/712", "example.com/en/7", "allow") and got[2][2:] == ("com/en/", "block") and got[3][2:] == ("net/de/", "allow") and got[4][2:] == ("example.net/de/8", "block")
     assert got[5][2:] == ("com/en/", "block") and got[6] == got[7] == got[8] == ("", "", None, "allow") and got[9][2:] == ("org/es/", "block") and got[10][2:] == (None, "allow") and got[11] == ("com", "", None, "allow")
 
 
