@@ -123,3 +123,30 @@ def test_catalog_from_json(spark, cat, tmp_path):
     for part in ("subject", "coloc_groups", "rare_results", "study_extractions", "coloc_pairs"):
         x, y = getattr(a, part), getattr(b, part)
         assert sorted(map(str, x.select(sorted(x.columns)).collect())) == sorted(map(str, y.select(sorted(x.columns)).collect())), part
+
+
+def test_small_members_share_tasks(spark, tmp_path):
+    """A task a member, each reading the archive's directory, before: 300 tasks here."""
+    import zipfile
+
+    from lociflow.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for i in range(300):
+            z.writestr(f"{i}_with_lbfs.tsv.gz", b"broken" if i == 7 else gzip.compress(f"SNP\tBP\tSE\n1:{i}\t{i}\tNA\n".encode()))
+    out = archives.read_archives(spark, [f"file://{tmp_path}/a.zip"], tasks=20)
+    assert out.rdd.getNumPartitions() <= 40
+    rows = out.collect()
+    assert sorted(int(r["study_id"]) for r in rows) == list(range(300))
+    assert all(r["error"] if r["study_id"] == "7" else (r["snp"], r["bp"], r["se"], r["error"]) == (f"1:{r['study_id']}", int(r["study_id"]), None, None) for r in rows)
+
+
+def test_many_studies_are_written_by_tasks(spark, tmp_path):
+    """Ids and cells of any text come back, nothing half-written stays, and a folder of a study has its files alone."""
+    path = f"file://{tmp_path}/stats"
+    rows = [(f"s{i % 500}", f"1:{i}", i, None if i % 3 else i / 7) for i in range(2000)] + [("a b", 'q"uo\tte', 1, 1e-300), ("a b", "back\\slash", 2, -0.0)]
+    formats.write_stats(spark.createDataFrame(rows, "study_id string, snp string, bp bigint, beta double"), path)
+    got = sorted((r["study_id"], r["snp"], r["bp"], r["beta"]) for r in formats.read_stats(spark, path).collect())
+    assert got == sorted(rows, key=lambda r: r[:3])
+    files = [f for f in (tmp_path / "stats").rglob("*") if f.is_file()]
+    assert len({f.parent for f in files}) == 501 and all(f.name.startswith("part-") and f.name.endswith(".tsv.gz") for f in files)
