@@ -35,7 +35,7 @@ def _terms(cat: Catalog, text: str, literal: bool) -> DataFrame:
     name = F.when(F.col("alt_name").isNull(), F.col("name")).otherwise(F.concat("name", F.lit(" ("), "alt_name", F.lit(")")))
     call = F.when(F.col("type") == "trait", F.concat(F.lit("trait("), "type_id", F.lit(")"))).when(F.col("type") == "gene", F.concat(F.lit("gene('"), "type_id", F.lit("')")))
     kind = F.when(F.col("kind") == "symbol", "gene").otherwise(F.col("kind")).alias("type")  # a gene's call is by its symbol
-    counts = cat.counts.filter("kind in ('trait', 'symbol')").select(kind, F.col("subject").alias("type_id"), "num_coloc_groups", "num_coloc_studies", F.col("num_rare").alias("num_rare_results"), "num_study_extractions")
+    counts = cat.counts_for("trait").unionByName(cat.counts_for("symbol")).select(kind, F.col("subject").alias("type_id"), "num_coloc_groups", "num_coloc_studies", F.col("num_rare").alias("num_rare_results"), "num_study_extractions")
     out = rows.join(counts, ["type", "type_id"], "left")
     out = out.fillna(0, ["num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions"])
     return out.select(call.alias("call"), name.alias("name"), "type", "type_id", "sample_size", "num_coloc_groups", "num_coloc_studies", "num_rare_results", "num_study_extractions")
